@@ -8,12 +8,13 @@
    a probability of 5e-8.
 4. Every bucket's members are compared with its pivots, the members with fewest shingles of their own
    among the bucket's kin. Links join classes to components (large and small stars, no component in one task).
-5. Pairs that share a bucket and are not yet in one component are all compared, so no link that could
-   join two components is left out. Two bounds, which hold for any sets, keep crowded buckets from
-   yielding all their pairs: the ratio of the sizes, and for a member the part of its shingles that no
-   other member of a crowded bucket has (over a fifth: it has no link there).
+5. Members of one bucket that are not yet in one component are all compared, so no link that could join
+   two components is left out. In buckets of up to ``CROWD`` members these are pairs. Larger ones are dealt
+   into blocks of about ``BLOCK`` members; two blocks are a cell, whose sets are compared as one product of
+   matrices, and which yields a row for each two components that it joins and no pairs. Members with over a
+   fifth of shingles that no other member of a crowded bucket has can't have a link there and stay out.
 6. A pair is compared by the likelihood of its registers first: under ``DOUBT`` (six deviations below 0.8)
-   it is let go. The others are decided on the full sets.
+   it is let go. The others, and all in cells, are decided on the full sets.
 
 A document without words has no shingles, is linked with nothing and is a component of its own. With
 fewer words than a shingle the whole sequence is the one shingle. Each row belongs to the class of its
@@ -27,6 +28,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -38,7 +40,7 @@ from keystrata.llm.words import Recent, per_worker, spaced_bytes
 REGISTERS, ROWS = 128, 4
 BANDS = REGISTERS // ROWS
 BASE, LIMIT, RATE = 1.001, 65534, 20.0
-CROWD, PIVOTS = 48, 6
+CROWD, PIVOTS, BLOCK = 24, 6, 512
 DOUBT = 0.56
 
 
@@ -146,6 +148,37 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long")
 
 
+def joined_components(sets: list[np.ndarray], component: np.ndarray, percent: int) -> np.ndarray:
+    """Pairs of different components (rows) that some pair of ``sets`` links, from products of 0-1 matrices."""
+    sizes = np.array([len(x) for x in sets])
+    shingle, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(shingle, kind="stable")
+    shingle, member = shingle[order], member[order]
+    column = np.cumsum(np.r_[0, shingle[1:] != shingle[:-1]])
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, column[-1] + 1, 4096):
+        a, b = np.searchsorted(column, (first, first + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[member[a:b], column[a:b] - first] = 1
+        both += part @ part.T
+    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
+    x, y = np.nonzero(linked & (component[:, None] < component[None, :]))
+    return np.unique(np.column_stack([component[x], component[y]]), axis=0)
+
+
+def _crossed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Components (a, b) with a link between them inside crowded buckets (bucket, id, component, now members)."""
+
+    def cell(rows: pd.DataFrame) -> pd.DataFrame:
+        found = joined_components([np.frombuffer(x, np.uint64) for x in rows["shingles"]], rows["component"].to_numpy(), percent)
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    blocks = F.ceil(F.col("now") / BLOCK).cast("int")
+    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component")
+    return dealt.join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(cell, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """id, component of every node of ``edges`` (a, b): the least id that it reaches.
 
@@ -205,11 +238,12 @@ def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFr
     links = write(_verified(_estimated(star, some), sets, percent), "links")
 
     part = write(_labelled(member, components(links)), "parts")
-    mixed = part.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-    open_ = write(part.join(mixed, "bucket").select("bucket", "id", "n_shingles", "component"), "open")
-    x, y = open_.toDF("bucket", "a", "na", "ca"), open_.toDF("bucket", "b", "nb", "cb")
+    mixed = part.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("now")).where("lo < hi").select("bucket", "now")
+    open_ = write(part.join(mixed, "bucket").select("bucket", "id", "n_shingles", "component", "members", "now"), "open")
+    few = open_.where(F.col("members") <= CROWD).select("bucket", "id", "n_shingles", "component")
+    x, y = few.toDF("bucket", "a", "na", "ca"), few.toDF("bucket", "b", "nb", "cb")
     rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(write(_estimated(rest, some), "rest"), sets, percent)
+    more = _verified(write(_estimated(rest, some), "rest"), sets, percent).unionAll(_crossed(open_.where(F.col("members") > CROWD), sets, percent))
 
     found = components(links.unionAll(more))
     by_class = classes.select("words", "id").join(found, "id", "left").select("words", F.coalesce("component", "id").alias("component"))

@@ -1,0 +1,62 @@
+import os
+
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from keystrata.llm import quality, toxicity
+from keystrata.llm.learning import held_out
+from tests.llm.conftest import records
+from tests.llm.test_decontamination import brute as brute_hits
+from tests.llm.test_near_dedup import brute as brute_components
+from tests.llm.test_tokens import best_fit, ids
+
+DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
+
+@pytest.fixture(scope="module")
+def tables(spark):
+    return {t: spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels", "benchmark")}
+
+
+def test_stages_are_the_named_ones():
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality classifier", "toxicity", "MinHash near-dedup", "benchmark decontamination", "best-fit packing"]
+
+
+def test_each_stage_equals_brute_force(spark, tables, tmp_path):
+    docs, labels = tables["documents"], tables["labels"]
+    kept = docs
+    for n, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        rows = {r["doc_id"]: r["text"] for r in records(kept.select("doc_id", "text"))}
+        if n == 0:
+            scores = records(quality.score_quality(docs, labels))
+            wanted = {r["doc_id"] for r in scores if r["predicted"] == 1}
+        elif n == 1:
+            col = toxicity.score_column(kept, labels, held_out(F.col("doc_id"), 4, 2), kept["text"])
+            wanted = {r["doc_id"] for r in records(kept.select("doc_id", col.alias("s"))) if r["s"] < 0.3}
+        elif n == 2:
+            order = sorted(rows)
+            wanted = {order[i] for i, (_, root) in brute_components([rows[k] for k in order], 5).items() if root == i}
+        else:
+            items = [(r["item_id"], r["text"]) for r in records(tables["benchmark"])]
+            wanted = {r[0] for r in brute_hits(list(rows.items()), items) if not r[5]}
+        path = str(tmp_path / str(n))
+        out = stage(spark, kept, DATA)
+        assert out.columns == docs.columns
+        out.write.parquet(path)
+        kept = spark.read.parquet(path)
+        assert {r["doc_id"] for r in records(kept)} == wanted
+        assert 0 < len(wanted) < len(rows) or n == 1
+    rows = {r["doc_id"]: r["text"] for r in records(kept.select("doc_id", "text"))}
+    packed = records(corpus_pipeline.STAGES[-1][1](spark, kept, DATA))
+    totals = {}
+    for r in packed:
+        totals[r["doc_id"]] = totals.get(r["doc_id"], 0) + r["length"]
+    assert totals == {i: len(ids(public_tokenizers.path("byte_bpe_50k.json"), t)) + 1 for i, t in rows.items()}
+    assert len({r["sequence_id"] for r in packed}) == best_fit([r["length"] for r in packed], 2048)
+
+
+def test_run_is_all_stages(spark):
+    found = records(corpus_pipeline.run(spark, DATA))
+    assert found and {"doc_id", "piece", "sequence_id", "offset"} <= set(found[0])

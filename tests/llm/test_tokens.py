@@ -1,0 +1,146 @@
+import zlib
+
+import numpy as np
+import public_tokenizers as P
+import pytest
+from tokenizers import Tokenizer
+
+from keystrata.llm import packing, token_counts, token_shards
+from keystrata.llm.scratch import new_path
+from keystrata.llm.words import Chunks, Recent, id_bytes
+from tests.llm.conftest import frame, records
+
+WORD, BYTE = P.path("word_bpe_49k.json"), P.path("byte_bpe_50k.json")
+ODD = [None, "", " ", "\n\n", "a\x1cb", " \n\n  x  y.\t", "İÉ ΑΣ Σ ΑΣ.", "é x", "hi<|endoftext|> A <|startoftext|>", "<|ENDOFTEXT|>", "don't I'LL, it's. they've!", "12,34.5! a!! a,! x²", "x　y\xa0z w", "\nWord\n\nword \n a",
+    "ǅ ŉ ﬁ ª º 漢字 한글 क्षि", "éte á, ́x", "ﬀ, Ⅷ", "🔑💎 a🔑", "a" * 3000, "word, " * 900, "\r\n\r\nx\r\n", "x ,y", "\n.", "Ünï, ß: ẞ;", "​zero​", "a\x00b \x7f"]
+
+
+def ids(tokenizer, text):
+    return Tokenizer.from_file(tokenizer).encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
+def test_chunks_equal_the_library(path, spaced, prose):
+    chunks = Chunks(path, spaced, id_bytes, b"".join, limit=40)
+    for text in [*ODD, prose(300), prose(50).upper(), prose(40).title().replace(" ", ".\n")]:
+        assert np.frombuffer(chunks(text), "<u4").tolist() == ids(path, text), text
+
+
+def test_recent_forgets_but_stays_right():
+    calls = []
+    cache = Recent(lambda k: calls.append(k) or k * 2, limit=3)
+    assert [cache[k] for k in [1, 2, 3, 1, 4, 1, 5, 6, 7, 8, 1]] == [2, 4, 6, 2, 8, 2, 10, 12, 14, 16, 2]
+    assert len(cache) + len(cache.old) <= 6
+
+
+def test_counts(spark, prose, empty):
+    texts = [*ODD, prose(3000), prose(1500) + ". " + prose(900)]
+    found = {r["doc_id"]: r for r in records(token_counts.count_tokens(frame(spark, texts), WORD))}
+    for i, text in enumerate(texts):
+        n = len(ids(WORD, text))
+        assert (found[i]["n_bytes"], found[i]["n_tokens"], found[i]["over_limit"]) == (len((text or "").encode()), n, n > 2048)
+    assert records(token_counts.count_tokens(empty, WORD)) == []
+    assert [r["n_tokens"] for r in records(token_counts.count_tokens(frame(spark, [(None, "a b"), (1, "a b"), (1, "a b")]), WORD))] == [2, 2, 2]
+
+
+def test_shards_round_trip(spark, prose):
+    texts = [(i * 3, t) for i, t in enumerate([*ODD, *[prose(n) for n in (5, 2000, 700)]])]
+    docs = frame(spark, texts).repartition(3)
+    shards = token_shards.write_shards(docs, WORD, new_path(spark, "test"))
+    found = sorted(records(token_shards.read_shards(spark, shards)), key=lambda r: r["start"])
+    start = 0
+    for row, (doc_id, text) in zip(found, texts, strict=True):
+        wanted = [*ids(WORD, text), 1]
+        assert (row["doc_id"], row["start"], row["n_tokens"]) == (doc_id, start, len(wanted))
+        assert np.frombuffer(row["ids"], "<u4").tolist() == wanted
+        assert [np.frombuffer(x, "<u4").tolist() for x in token_shards.lookup(shards, doc_id)] == [wanted]
+        start += len(wanted)
+    assert token_shards.lookup(shards, 1) == token_shards.lookup(shards, 10**9) == token_shards.lookup(shards, None) == []
+
+
+def test_shards_with_nulls_and_repeats(spark, empty):
+    docs = frame(spark, [(-4, "b"), (None, "n"), (7, "x"), (7, "x"), (7, "y")])
+    shards = token_shards.write_shards(docs, WORD, new_path(spark, "test"))
+    found = sorted(records(token_shards.read_shards(spark, shards)), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == [None, -4, 7, 7, 7] and [r["start"] for r in found] == [0, 2, 4, 6, 8]
+    assert len(token_shards.lookup(shards, 7)) == 3 and len(token_shards.lookup(shards, None)) == 1
+    assert records(token_shards.read_shards(spark, token_shards.write_shards(empty, WORD, new_path(spark, "test")))) == []
+
+
+def test_shard_of_many_blocks(tmp_path):
+    path = tmp_path / "s.sst"
+    with path.open("wb") as out:
+        writer = token_shards.ShardWriter(out, block_bytes=200)
+        for i in range(0, 1000, 2):
+            writer.add(token_shards.key_of(i), id_bytes([i, i + 1]))
+        writer.close()
+    reader = token_shards.open_shard(f"file://{path}")
+    assert len(reader.blocks) > 20 and reader.documents == 500 and reader.tokens == 1000
+    assert [token_shards.id_of(k) for k, _, _ in reader] == list(range(0, 1000, 2))
+    assert reader.get(token_shards.key_of(500)) == [(500, id_bytes([500, 501]))]
+    assert all(reader.get(token_shards.key_of(i)) == [] for i in range(1, 1000, 50))
+    data = bytearray(path.read_bytes())
+    data[20] ^= 1
+    path.write_bytes(bytes(data))
+    with pytest.raises(ValueError, match="damaged"):
+        list(token_shards.open_shard(f"file://{path}"))
+
+
+def best_fit(lengths, capacity):
+    """Plain best-fit decreasing, a document at a time: the number of bins."""
+    rooms = []
+    for n in sorted(lengths, reverse=True):
+        fits = [r for r in rooms if r >= n]
+        if fits:
+            rooms.remove(min(fits))
+            rooms.append(min(fits) - n)
+        else:
+            rooms.append(capacity - n)
+    return len(rooms)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_plan_equals_best_fit_decreasing(seed):
+    pick = np.random.default_rng(seed)
+    lengths = pick.integers(1, 101, 400) if seed % 2 else pick.geometric(0.06, 700).clip(1, 100)
+    histogram = {int(n): int(c) for n, c in zip(*np.unique(lengths, return_counts=True), strict=True)}
+    used = {}
+    for length, a, b, first, each, at in packing.plan(histogram, 100):
+        for r in range(a, b):
+            used.setdefault(first + (r - a) // each, []).append((at + (r - a) % each * length, length))
+    assert sum(map(len, used.values())) == len(lengths)
+    for places in used.values():
+        end = 0
+        for at, length in sorted(places):
+            assert at == end
+            end += length
+        assert end <= 100
+    assert len(used) == best_fit(lengths.tolist(), 100)
+
+
+def test_packing(spark, prose, empty):
+    texts = [*ODD, prose(900), prose(2500), prose(1300), "same", "same", (None, "nobody"), (3, "again"), (3, "again")]
+    docs = frame(spark, texts)
+    found = records(packing.pack(docs, BYTE))
+    by_doc, by_bin = {}, {}
+    for r in found:
+        by_doc.setdefault(r["doc_id"], []).append(r)
+        by_bin.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_bin.values():
+        end = 0
+        for at, n in sorted(places):
+            assert at == end
+            end += n
+        assert end <= 2048
+    for i, text in enumerate(ODD):
+        if i == 3:
+            continue
+        whole = [*ids(BYTE, text), 0]
+        parts = sorted(by_doc[i], key=lambda r: r["piece"])
+        assert [p["piece"] for p in parts] == list(range(-(-len(whole) // 2048)))
+        assert sum(p["length"] for p in parts) == len(whole) and all(p["length"] == 2048 for p in parts[1:])
+        for p in parts:
+            assert p["ids_crc32"] == zlib.crc32(id_bytes(whole[p["start"] : p["start"] + p["length"]]))
+    assert len(by_doc[3]) == 3 and len(by_doc[None]) == 1
+    assert len(by_bin) == best_fit([r["length"] for r in found], 2048)
+    assert records(packing.pack(empty, BYTE)) == []
