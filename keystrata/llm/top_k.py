@@ -8,7 +8,7 @@ score that it starts with comes from a bounded sample of all vectors, which ever
 
 Queries meet the shards in blocks: cell (shard, block) is one task's work, bounded in both directions.
 
-Vectors that are null, or hold null, non-finite or (beyond 2^62) unrepresentable components, take no part.
+Vectors that are null, or hold null or non-finite components, or such from 2^54 on, take no part.
 Vectors of different lengths are never compared; vectors without components score 0. Rows that repeat a
 vec_id with the same vector are one row, and a query is never compared with its own vec_id. Null
 identifiers take no part. An empty table gives no rows. Equal scores go to smaller vec_ids.
@@ -30,9 +30,8 @@ LEAF, SHARD_ROWS, BLOCK_ROWS, SAMPLE_ROWS = 128, 16_384, 2_048, 2_000
 
 def quantised(vector: Column) -> Column:
     """floor(256 x) of each component as longs; null if a component is null, not finite or too large."""
-    whole = F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("double"))
-    fits = F.forall(whole, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < 2.0**62))
-    return F.when(F.coalesce(fits, F.lit(False)), F.transform(whole, lambda x: x.try_cast("bigint")))
+    fits = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < 2.0**54))
+    return F.when(F.coalesce(fits, F.lit(False)), F.transform(vector, lambda x: F.floor(x.cast("double") * 256).cast("bigint")))
 
 
 class Tree:
