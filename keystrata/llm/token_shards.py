@@ -31,6 +31,7 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keystrata.llm.scratch import bound_batches
 from keystrata.llm.words import Chunks, id_bytes, per_worker
@@ -247,7 +248,7 @@ def save_manifest(shards: list[dict], folder: str) -> None:
         out.write(json.dumps([s | {"first": bytes(s["first"]).hex(), "last": bytes(s["last"]).hex()} for s in shards]).encode())
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32_of(ids):
     """Unsigned crc32 of binary values."""
     return ids.map(zlib.crc32)
