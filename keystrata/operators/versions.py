@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from keystrata.functions.keys import in_range, is_tombstone, live_value
 
-#: Ranges that are broadcast to every task of a scan, and the boundaries of the equi-join beyond that.
-BROADCAST_RANGES, BOUNDARIES = 10_000, 96
+#: Ranges that each row is compared with, one by one; ranges that are broadcast, cut at boundaries; and how many of these.
+PLAIN_RANGES, BROADCAST_RANGES, BOUNDARIES = 32, 10_000, 96
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -55,13 +55,17 @@ def multi_scan(log: DataFrame, ranges: DataFrame) -> DataFrame:
     newest = latest(log).select("key", live_value().alias("value"))
     asked = ranges.select("lo", "hi").where("lo < hi").distinct()
     inside = (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))
-    if asked.limit(BROADCAST_RANGES + 1).count() <= BROADCAST_RANGES:
+    n = asked.limit(BROADCAST_RANGES + 1).count()
+    if n <= PLAIN_RANGES:
         return newest.join(F.broadcast(asked), inside).select("lo", "hi", "key", "value")
-    # Many ranges: both sides are cut at the same boundaries, which makes the join one of equal numbers.
-    rows = newest.select("key").orderBy(F.xxhash64("key")).limit(20 * BOUNDARIES).orderBy("key").collect()
+    # Many ranges: both sides are cut at the same boundaries, which makes the join one of equal numbers. Ranges that
+    # are few enough to broadcast are cut evenly themselves; else the rows are, for these are then shuffled by part.
+    points = asked.select(F.col("lo").alias("key")) if n <= BROADCAST_RANGES else newest.select("key")
+    rows = points.orderBy(F.xxhash64("key")).limit(20 * BOUNDARIES).orderBy("key").collect()
     bounds = F.array(*[F.lit(rows[i * len(rows) // BOUNDARIES].key) for i in range(BOUNDARIES)]) if rows else F.array().cast("array<string>")
     part = lambda key: F.size(F.filter(bounds, lambda b: b <= key))
     cut = asked.withColumn("part", F.explode(F.sequence(part(F.col("lo")), part(F.col("hi")))))
+    cut = F.broadcast(cut) if n <= BROADCAST_RANGES else cut
     return newest.withColumn("part", part(F.col("key"))).join(cut, "part").where(inside).select("lo", "hi", "key", "value")
 
 

@@ -89,21 +89,22 @@ class Store:
         gone = F.coalesce(deletes, F.lit(False)) if deletes is not None else F.lit(False)
         order = F.monotonically_increasing_id() if order_by is None else F.col(order_by) if isinstance(order_by, str) else order_by
         rows = changes.select("key", order.cast("long").alias("seq"), F.when(gone, TOMBSTONE).otherwise(REGULAR).cast("byte").alias("vtype"), F.when(~gone, F.col("value")).alias("data"), F.localtimestamp().alias("ts"))
-        return self._commit(rows, batch, spread=True)
+        return self._commit(rows, batch)
 
     def append_log(self, log: DataFrame) -> None:
         """Adopts a log from elsewhere as one commit: its own order is kept as this commit's order."""
         ranked = log.select("key", F.struct("epoch", "seq").alias("o"), "vtype", "data", "ts")
         newest = ranked.groupBy("key").agg(F.max_by(F.struct("vtype", "data", "ts"), F.col("o")).alias("m")).select("key", F.lit(0).cast("long").alias("seq"), "m.vtype", "m.data", "m.ts")
-        self._commit(newest, spread=True)
+        self._commit(newest)
 
-    def _commit(self, rows: DataFrame, batch: tuple[str, int] | None = None, spread: bool = False) -> bool:
+    def _commit(self, rows: DataFrame, batch: tuple[str, int] | None = None) -> bool:
+        """A commit writes what it is given where it is, each file sorted; flush and compaction deal rows out by ranges of keys."""
         self._check_open()
         for _ in range(ATTEMPTS):
             base = self.manifests.current()
             if batch and base.batches.get(batch[0], -1) >= batch[1]:
                 return False
-            run = self._write_run(rows.withColumn("epoch", F.lit(base.next_epoch).cast("long")), "commit", spread=spread)
+            run = self._write_run(rows.withColumn("epoch", F.lit(base.next_epoch).cast("long")), "commit", spread=False)
             batches = base.batches | ({batch[0]: batch[1]} if batch else {})
             try:
                 self.manifests.publish(base.after(next_epoch=base.next_epoch + 1, runs=(*base.runs, *([run] if run.n_entries else [])), batches=batches))
@@ -167,6 +168,9 @@ class Store:
         """key and value of every distinct key asked for."""
         if not isinstance(keys, DataFrame):
             keys = self.spark.createDataFrame([(k,) for k in keys], "key string")
+        runs = self.manifest().runs
+        if len(runs) == 1 and runs[0].unique:
+            return keys.select("key").distinct().join(self._read(runs).select("key", live_value().alias("value")), "key", "left")
         return versions.multi_get(self.log(), keys)
 
     def multi_scan(self, ranges: DataFrame) -> DataFrame:

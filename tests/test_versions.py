@@ -74,8 +74,9 @@ def test_multi_scan_by_boundaries_equals_broadcast(log, spark, monkeypatch):
     df = log(*[(f"k{i:04d}", 0, i, str(i)) for i in range(300)])
     ranges = spark.createDataFrame([(f"k{a:04d}", f"k{a + n:04d}") for a, n in [(0, 5), (3, 150), (290, 50), (7, 0), (9, -3)]] + [("k0299", "z"), ("", "k0002")], "lo string, hi string")
     broadcast = sorted(rows(V.multi_scan(df, ranges)))
-    monkeypatch.setattr(V, "BROADCAST_RANGES", 1)
-    assert sorted(rows(V.multi_scan(df, ranges))) == broadcast
+    for bound in ("PLAIN_RANGES", "BROADCAST_RANGES"):
+        monkeypatch.setattr(V, bound, 1)
+        assert sorted(rows(V.multi_scan(df, ranges))) == broadcast
     counts = {(lo, hi): n for lo, hi, n in rows(V.count_ranges(df, ranges))}
     assert counts["k0003", "k0153"] == 150
     assert counts["k0007", "k0007"] == 0
