@@ -202,7 +202,8 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
-    return [row.asDict() for row in dealt.mapInArrow(shards, SHARDS).orderBy("shard").collect()]
+    written = dealt.mapInArrow(shards, SHARDS).collect()  # a row for each shard; sorting these in Spark would run the writers twice
+    return [row.asDict() for row in sorted(written, key=lambda row: row.shard)]
 
 
 def read_shards(spark: SparkSession, shards: list[dict]) -> DataFrame:
