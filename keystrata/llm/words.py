@@ -50,12 +50,15 @@ class Recent(dict):
         return value
 
 
-def per_worker(name: str, make: Callable):
-    """One object for each Python worker process, kept from task to task while Spark reuses the worker."""
+def per_worker(name: str, make: Callable, version: str = ""):
+    """One object for each Python worker process, kept from task to task while Spark reuses the worker.
+
+    Another ``version`` of the same name takes the place of the one before.
+    """
     store = sys.modules.setdefault("_keystrata_worker", types.ModuleType("_keystrata_worker"))
-    if not hasattr(store, name):
-        setattr(store, name, make())
-    return getattr(store, name)
+    if getattr(store, name, ("", None))[0] != f"version {version}":
+        setattr(store, name, (f"version {version}", make()))
+    return getattr(store, name)[1]
 
 
 def byte_level(text: str) -> str:
