@@ -95,3 +95,41 @@ def test_source_raises_on_damage(spark, tmp_path):
     (tmp_path / "wal_0.wal").write_bytes(bytes(data))
     with pytest.raises(PySparkException, match="corruption detected at offset 0"):
         spark.read.format("wal").load(str(tmp_path)).collect()
+
+
+def test_life_of_a_wal_file(tmp_path):
+    from keystrata.sources.wal_file import WalFile
+
+    wal = WalFile(str(tmp_path / "wal_0.wal"))
+    with pytest.raises(RuntimeError, match="not open"):
+        wal.append(entries(1)[0])
+    with wal:
+        wal.batch_append(entries(10))
+        assert wal.seq == 10
+    with open(wal.path, "ab") as torn:
+        torn.write(b"\0\0")
+    with WalFile(wal.path, 1000) as again:
+        assert again.seq == 10
+        again.append(Version("more", "", 0, TS, again.seq))
+        assert [v.key for v in again][-1] == "more" and len(list(again)) == 11
+        again.mark_read_only()
+        with pytest.raises(RuntimeError, match="read-only"):
+            again.append(entries(1)[0])
+        again.destroy()
+    assert list(again) == []
+    with pytest.raises(ValueError, match="sync interval"):
+        WalFile("x", 10_001)
+
+
+def test_a_folder_of_files_is_adopted(spark, tmp_path, store):
+    from keystrata.sources.migrate import read_folder
+
+    for sub in ("wal", "sstables"):
+        (tmp_path / sub).mkdir()
+    (tmp_path / "sstables/1.sst").write_bytes(binary.table_bytes([Version("a", "old", 0, TS), Version("b", "2", 0, TS)]))
+    (tmp_path / "sstables/10.sst").write_bytes(binary.table_bytes([Version("a", "newer", 0, TS)]))
+    (tmp_path / "sstables/999.sst.tmp").write_bytes(b"junk")
+    (tmp_path / "wal/wal_3.wal").write_bytes(binary.wal_bytes([Version("b", None, 1, TS, 0), Version("c", "3", 0, TS, 1)]))
+    store.append_log(read_folder(spark, str(tmp_path)))
+    assert store.get_range("", "z") == [("a", "newer"), ("b", None), ("c", "3")]
+    assert read_folder(spark, str(tmp_path / "nothing")).count() == 0
