@@ -55,7 +55,7 @@ def multi_scan(log: DataFrame, ranges: DataFrame) -> DataFrame:
     newest = latest(log).select("key", live_value().alias("value"))
     asked = ranges.select("lo", "hi").where("lo < hi").distinct()
     inside = (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))
-    n = asked.limit(BROADCAST_RANGES + 1).count()
+    n = asked.count()
     if n <= PLAIN_RANGES:
         return newest.join(F.broadcast(asked), inside).select("lo", "hi", "key", "value")
     # Many ranges: both sides are cut at the same boundaries, which makes the join one of equal numbers. Ranges that
