@@ -32,19 +32,23 @@ def new_path(spark: SparkSession, tag: str, keep: bool = False) -> str:
     return path
 
 
-def write(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
+def write(df: DataFrame, tag: str) -> DataFrame:
     """``df`` as a written table: the same rows, with no lineage behind them."""
-    path = new_path(df.sparkSession, tag, keep)
+    path = new_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes one table that was kept from ``purge``."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def purge(spark: SparkSession) -> None:
     """Deletes the scratch tables of this process."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     while _WRITTEN:
-        path = jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(conf).delete(path, True)
+        remove(spark, _WRITTEN.pop())
 
 
 def bound_batches(spark: SparkSession, rows: int = 512) -> None:
@@ -62,5 +66,5 @@ def without(docs: DataFrame, dropped: DataFrame, condition) -> DataFrame:
 
     Up to BROADCAST_IDS rows, some tens of megabytes, are broadcast; beyond, both sides are shuffled.
     """
-    small = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    small = dropped.count() <= BROADCAST_IDS
     return docs.join(F.broadcast(dropped) if small else dropped, condition, "left_anti")
