@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from keystrata.llm import decontamination, near_dedup, packing, quality, toxicity
 from keystrata.llm.learning import held_out
-from keystrata.llm.scratch import purge, write
+from keystrata.llm.scratch import new_path, purge, remove
 
 THRESHOLD = 0.3
 TOKENIZER = "byte_bpe_50k.json"
@@ -62,7 +62,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
-        docs = write(stage(spark, docs, sf_dir), name.replace(" ", "-").lower(), keep=True)
+        path = new_path(spark, name.replace(" ", "-").lower(), keep=True)
+        stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
