@@ -27,8 +27,7 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     shards = token_shards.write_shards(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE), new_path(spark, "shards"))
-    read = token_shards.read_shards(spark, shards)
-    return read.select("doc_id", "start", "n_tokens", token_shards.crc32_of("ids").alias("ids_crc32"))
+    return token_shards.read_shards(spark, shards, digest=True)
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -31,7 +31,6 @@ from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from keystrata.llm.scratch import bound_batches
 from keystrata.llm.words import Chunks, id_bytes, per_worker
@@ -206,21 +205,24 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
     return [row.asDict() for row in sorted(written, key=lambda row: row.shard)]
 
 
-def read_shards(spark: SparkSession, shards: list[dict]) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary) of each document; ``start`` counts the ids of all documents before it."""
+def read_shards(spark: SparkSession, shards: list[dict], digest: bool = False) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary) of each document; ``start`` counts the ids of all documents before it.
+
+    With ``digest`` the unsigned crc32 of the ids, ids_crc32, stands for the ids.
+    """
     rows, base = [], 0
     for shard in shards:
         rows.append((shard["path"], base))
         base += shard["n_tokens"]
 
     def documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["doc_id", "start", "n_tokens", "ids"]
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        names = ["doc_id", "start", "n_tokens", "ids_crc32" if digest else "ids"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64() if digest else pa.binary()]
         for batch in batches:
             for path, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 out, size = [], 0
                 for key, start, ids in open_shard(path):
-                    out.append((id_of(key), base + start, len(ids) // 4, ids))
+                    out.append((id_of(key), base + start, len(ids) // 4, zlib.crc32(ids) if digest else ids))
                     size += len(ids)
                     if size > 4 << 20:
                         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
@@ -228,7 +230,7 @@ def read_shards(spark: SparkSession, shards: list[dict]) -> DataFrame:
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
-    return spark.createDataFrame(rows, "path string, base long").mapInArrow(documents, "doc_id long, start long, n_tokens long, ids binary")
+    return spark.createDataFrame(rows, "path string, base long").mapInArrow(documents, f"doc_id long, start long, n_tokens long, {'ids_crc32 long' if digest else 'ids binary'}")
 
 
 def lookup(shards: list[dict], doc_id: int | None) -> list[bytes]:
@@ -247,9 +249,3 @@ def save_manifest(shards: list[dict], folder: str) -> None:
     store, name = fs.FileSystem.from_uri(f"{folder}/manifest.json")
     with store.open_output_stream(name) as out:
         out.write(json.dumps([s | {"first": bytes(s["first"]).hex(), "last": bytes(s["last"]).hex()} for s in shards]).encode())
-
-
-@F.pandas_udf(T.LongType())
-def crc32_of(ids):
-    """Unsigned crc32 of binary values."""
-    return ids.map(zlib.crc32)

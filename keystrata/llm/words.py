@@ -103,15 +103,17 @@ class Chunks:
         if piece.isascii():
             piece = "\u0120" + word if word is not piece and len(word) < len(piece) else piece
         else:
-            whole, piece = piece, self.normalizer.normalize_str(piece) if self.normalizer else piece
-            if self.normalizer and not piece.isalpha():  # lower case may add marks
-                return self._encode(whole)
+            if self.normalizer and max(piece) < "\u0250" and "\u0130" not in piece:
+                piece = piece.lower()  # composed already, and lower case is one letter for each
+            elif self.normalizer:
+                whole, piece = piece, self.normalizer.normalize_str(piece)
+                if not piece.isalpha():  # lower case may add marks
+                    return self._encode(whole)
             piece = byte_level(piece)
         return self.pack([token.id for token in self.tokenize(piece)])
 
     def _chunk(self, chunk: str):
-        value = self.seed.get(chunk)
-        if value is not None:
+        if self.seed and (value := self.seed.get(chunk)) is not None:
             return value
         if not self.spaced and chunk.isascii():
             chunk = chunk.lower()  # as the vocabulary's normalizer does

@@ -55,6 +55,8 @@ def test_shards_round_trip(spark, prose):
         assert np.frombuffer(row["ids"], "<u4").tolist() == wanted
         assert [np.frombuffer(x, "<u4").tolist() for x in token_shards.lookup(shards, doc_id)] == [wanted]
         start += len(wanted)
+    digests = {r["start"]: r["ids_crc32"] for r in records(token_shards.read_shards(spark, shards, digest=True))}
+    assert digests == {r["start"]: zlib.crc32(r["ids"]) for r in found}
     assert token_shards.lookup(shards, 1) == token_shards.lookup(shards, 10**9) == token_shards.lookup(shards, None) == []
 
 
