@@ -30,7 +30,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, unseen: Colu
         chosen = chosen.unionAll(other)
     # At most sum(most) rows of two numbers: small enough to broadcast at any scale.
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
-    sample = write(rows.repartition(8), "labelled")  # behind the scan, which stays as wide as the table
+    # Repeated rows of a document are one, before they meet; of its texts the least counts.
+    sample = write(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "labelled")
     found = {r.label for r in sample.select("label").distinct().collect()}
     return (sample if {0, 1} <= found else None), share
 
