@@ -128,7 +128,13 @@ class Chunks:
     def parts(self, text: str) -> Iterable:
         if any(odd in text for odd in self.ODD):
             return (self._encode(text),)
-        return map(self.cache.__getitem__, self.RUN.findall(text) if self.spaced else text.split())
+        if self.spaced:
+            return map(self.cache.__getitem__, self.RUN.findall(text))
+        try:  # in Latin-1, lower case is what the vocabulary's normalizer makes, letter by letter
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return map(self.cache.__getitem__, text.split())
+        return map(self.cache.__getitem__, text.lower().split())
 
     def __call__(self, text: str | None):
         return self.join(self.parts(text or ""))
