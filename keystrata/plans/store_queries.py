@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -18,7 +20,9 @@ def _folder(spark: SparkSession, name: str) -> str:
     """A new folder in the cluster's shared one; a temporary one where none is set."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not shared:
-        return tempfile.mkdtemp(prefix=f"keystrata-{name}-")
+        local = tempfile.mkdtemp(prefix=f"keystrata-{name}-")
+        atexit.register(shutil.rmtree, local, True)
+        return local
     return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
