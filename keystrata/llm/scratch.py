@@ -6,6 +6,8 @@ written; call it once the results that read those tables have themselves been wr
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -19,7 +21,9 @@ def shared_dir(spark: SparkSession) -> str:
     """The shared folder of this session; a temporary one is set only where none is configured."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="keystrata-")
+        local = tempfile.mkdtemp(prefix="keystrata-")
+        atexit.register(shutil.rmtree, local, True)
+        folder = f"file://{local}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
