@@ -2,14 +2,15 @@
 
 A shard holds documents in ascending order of their identifier::
 
-    block*   entries: varint shared, varint rest, varint size, rest of the key, value; then crc32 of the block
+    block*   entries, zstd-compressed: varint shared, varint rest, varint size, rest of the key, value; then crc32 of the block
     index    per block: key length and first key, offset, length, entries
     bloom    bits of a Bloom filter over the keys
-    footer   FOOTER: offsets and lengths of index and bloom, documents, tokens, hashes, version, magic
+    footer   FOOTER: offsets and lengths of index and bloom, documents, tokens, hashes, bytes of an id, magic
 
 Keys are nine bytes that sort as the identifiers do: 0 for null, else 1 and the big-endian number with its
 sign bit flipped. A key shares a prefix with the one before it, save at a block's start. A value is the
-document's start among the shard's ids (8 bytes) and its ids as little-endian unsigned 32-bit integers.
+document's start among the shard's ids (8 bytes) and its ids, little-endian and unsigned, of 2 bytes where
+the vocabulary allows it, else of 4. Readers give ids of 4 bytes.
 
 Null identifiers come first, null and empty texts have the end id alone, rows that repeat an identifier
 are all kept, one after the other in the order of their texts' hashes; an empty table gives no shard.
@@ -26,7 +27,9 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,7 +39,7 @@ from keystrata.llm.scratch import bound_batches
 from keystrata.llm.words import Chunks, id_bytes, per_worker
 
 FOOTER = "<QQQQQQII8s"
-MAGIC = b"KSTRSST1"
+MAGIC = b"KSTRSST2"
 BLOCK_BYTES = 64 << 10
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
@@ -76,8 +79,8 @@ def _bloom_places(key: bytes, bits: int, hashes: int) -> Iterator[int]:
 class ShardWriter:
     """Writes ascending keys to a binary stream; what it holds is one block, the sparse index and the keys' hashes."""
 
-    def __init__(self, out, block_bytes: int = BLOCK_BYTES):
-        self.out, self.block_bytes = out, block_bytes
+    def __init__(self, out, block_bytes: int = BLOCK_BYTES, width: int = 4):
+        self.out, self.block_bytes, self.width, self.pack = out, block_bytes, width, zstandard.ZstdCompressor(level=1)
         self.block, self.entries, self.first, self.last = bytearray(), 0, b"", b""
         self.index, self.keys, self.at, self.tokens = bytearray(), [], 0, 0
 
@@ -90,7 +93,8 @@ class ShardWriter:
                 shared += 1
         else:
             self.first = key
-        self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(ids) + 8) + key[shared:] + struct.pack("<Q", self.tokens) + ids
+        stored = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.width == 2 else ids
+        self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(stored) + 8) + key[shared:] + struct.pack("<Q", self.tokens) + stored
         self.entries, self.last, self.tokens = self.entries + 1, key, self.tokens + len(ids) // 4
         self.keys.append(key)
         if len(self.block) >= self.block_bytes:
@@ -98,7 +102,8 @@ class ShardWriter:
 
     def _flush(self) -> None:
         if self.entries:
-            data = bytes(self.block) + struct.pack("<I", zlib.crc32(self.block))
+            data = self.pack.compress(bytes(self.block))
+            data += struct.pack("<I", zlib.crc32(data))
             self.out.write(data)
             self.index += struct.pack("<H", len(self.first)) + self.first + struct.pack("<QII", self.at, len(data), self.entries)
             self.at, self.block, self.entries = self.at + len(data), bytearray(), 0
@@ -112,7 +117,7 @@ class ShardWriter:
                 bloom[place >> 3] |= 1 << (place & 7)
         self.out.write(bytes(self.index))
         self.out.write(bytes(bloom))
-        self.out.write(struct.pack(FOOTER, self.at, len(self.index), self.at + len(self.index), len(bloom), len(self.keys), self.tokens, BLOOM_HASHES, 1, MAGIC))
+        self.out.write(struct.pack(FOOTER, self.at, len(self.index), self.at + len(self.index), len(bloom), len(self.keys), self.tokens, BLOOM_HASHES, self.width, MAGIC))
 
 
 class ShardReader:
@@ -121,7 +126,7 @@ class ShardReader:
     def __init__(self, file, size: int):
         self.file = file
         file.seek(size - struct.calcsize(FOOTER))
-        at, length, bloom_at, bloom_length, self.documents, self.tokens, self.hashes, _, magic = struct.unpack(FOOTER, file.read(struct.calcsize(FOOTER)))
+        at, length, bloom_at, bloom_length, self.documents, self.tokens, self.hashes, self.width, magic = struct.unpack(FOOTER, file.read(struct.calcsize(FOOTER)))
         if magic != MAGIC:
             raise ValueError("not a shard")
         file.seek(at)
@@ -141,6 +146,7 @@ class ShardReader:
         data = self.file.read(length)
         if zlib.crc32(data[:-4]) != struct.unpack("<I", data[-4:])[0]:
             raise ValueError(f"block {n} is damaged")
+        data = zstandard.ZstdDecompressor().decompress(data[:-4])
         i, key = 0, b""
         for _ in range(entries):
             shared, i = _read_varint(data, i)
@@ -148,7 +154,8 @@ class ShardReader:
             size, i = _read_varint(data, i)
             key = key[:shared] + data[i : i + rest]
             (start,) = struct.unpack_from("<Q", data, i + rest)
-            yield key, start, data[i + rest + 8 : i + rest + size]
+            ids = data[i + rest + 8 : i + rest + size]
+            yield key, start, np.frombuffer(ids, "<u2").astype("<u4").tobytes() if self.width == 2 else ids
             i += rest + size
 
     def __iter__(self) -> Iterator[tuple[bytes, int, bytes]]:
@@ -192,7 +199,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
                     store, name = fs.FileSystem.from_uri(path)
                     store.create_dir(name.rpartition("/")[0])
                     stream, first = store.open_output_stream(name), key_of(doc_id)
-                    out = ShardWriter(stream)
+                    out = ShardWriter(stream, width=2 if max(chunks.tokenizer.get_vocab_size(with_added_tokens=True), end_id) < 65536 else 4)
                 out.add(key_of(doc_id), chunks(text) + end)
         if out is not None:
             out.close()
