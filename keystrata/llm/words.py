@@ -51,14 +51,15 @@ class Recent(dict):
 
 
 def per_worker(name: str, make: Callable, version: str = ""):
-    """One object for each Python worker process, kept from task to task while Spark reuses the worker.
+    """One object in each Python worker process, kept from task to task while Spark reuses the worker.
 
-    Another ``version`` of the same name takes the place of the one before.
+    Another name or version takes its place, so a worker never holds the caches of several operators.
     """
     store = sys.modules.setdefault("_keystrata_worker", types.ModuleType("_keystrata_worker"))
-    if getattr(store, name, ("", None))[0] != f"version {version}":
-        setattr(store, name, (f"version {version}", make()))
-    return getattr(store, name)[1]
+    if getattr(store, "key", None) != (name, version):
+        store.key = store.kept = None  # gone before the next one comes
+        store.kept, store.key = make(), (name, version)
+    return store.kept
 
 
 def byte_level(text: str) -> str:
@@ -86,7 +87,7 @@ class Chunks:
     ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
     RUN = re.compile(r"\s*\S+|\s+")
 
-    def __init__(self, path: str, spaced: bool, pack: Callable, join: Callable, seed: dict | None = None, limit: int = 500_000):
+    def __init__(self, path: str, spaced: bool, pack: Callable, join: Callable, seed: dict | None = None, limit: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.spaced, self.pack, self.join = Tokenizer.from_file(path), spaced, pack, join
