@@ -53,3 +53,14 @@ def test_copies_of_an_article_stay_whole(spark, monkeypatch, bound):
 
 def test_empty_table(spark):
     assert records(M.extract(spark.createDataFrame([], SCHEMA))) == []
+
+
+BOX = "<div><div>Written by the staff of our house</div><p>They write about many things</p></div>"
+
+
+def test_templates_inside_articles_are_deleted(spark):
+    line = "<p>Get the weekly letter of our house</p>"
+    rows = [(i, f"http://h.example/{i}", f"<article><p>Quite different words {i} in each of these {i * 7} pages</p><p>Rare line</p>{line}<table><tr><td>Yes<td>{i}</table>{BOX}</article>" if i % 3 == 1 else f"<article><p>Nothing else is like text {i} here, {i * 3}, and it goes on for a while</p>{line}{BOX}</article>") for i in range(40)]
+    texts = {r["page_id"]: r["text"] for r in records(M.extract(pages(spark, rows)))}
+    assert texts[1] == "Quite different words 1 in each of these 7 pages Rare line Yes 1"
+    assert texts[2] == "Nothing else is like text 2 here, 6, and it goes on for a while"
