@@ -64,3 +64,25 @@ def test_templates_inside_articles_are_deleted(spark):
     texts = {r["page_id"]: r["text"] for r in records(M.extract(pages(spark, rows)))}
     assert texts[1] == "Quite different words 1 in each of these 7 pages Rare line Yes 1"
     assert texts[2] == "Nothing else is like text 2 here, 6, and it goes on for a while"
+
+
+@pytest.mark.parametrize("stamp", ["", "<span>Read at 10:{i}</span>"])
+def test_copies_of_a_page_without_an_article_stay_whole(spark, stamp):
+    body = "<body><div><p>The same long story stands on all of these pages, word for word</p><table><tr><td>Yes<td>No</table></div>"
+    rows = [(i, f"http://h.example/{i}", body + stamp.format(i=i) + "</body>") for i in range(30)]
+    texts = {r["page_id"]: r["text"] for r in records(M.extract(pages(spark, rows)))}
+    assert all(texts[i].startswith("The same long story stands on all of these pages, word for word Yes No") for i in range(30))
+
+
+def test_repeated_cells_and_rare_lines_without_an_article_stay(spark):
+    menu = "<div>Our shop since 1900 <b>all goods</b></div>"
+    rows = [(i, f"http://h.example/{i}", f"<body>{menu}<p>Page {i} tells of quite other things</p>{'<p>Introduction</p>' if i % 3 == 1 else ''}<table><tr><td>Yes<td>{i}</table></body>") for i in range(40)]
+    texts = {r["page_id"]: r["text"] for r in records(M.extract(pages(spark, rows)))}
+    assert texts[1] == "Page 1 tells of quite other things Introduction Yes 1"
+    assert texts[2] == "Page 2 tells of quite other things Yes 2"
+
+
+def test_what_holds_most_of_a_page_stays():
+    html = "<body><div><p>Nearly all that this page has to say</p></div><p>End</p></body>"
+    page = M.Page(html)
+    assert M.main_text(html, set(page.hashes.values()) - {0}) == "Nearly all that this page has to say"
