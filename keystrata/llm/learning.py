@@ -14,13 +14,18 @@ def held_out(doc_id: Column, parts: int, part: int) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % parts == part, F.lit(False))
 
 
+def known_labels(labels: DataFrame, label: str, unseen: Column) -> DataFrame:
+    """doc_id and label of the rows that may teach; of the labels of a repeated doc_id the largest counts."""
+    return labels.where(~unseen & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, unseen: Column, most: dict[int, int]) -> tuple[DataFrame | None, float]:
     """doc_id, text and label of at most ``most[class]`` documents of each class, and the share of class 1.
 
     Of more labels, those with the least hash of their doc_id are taken. ``labels`` may repeat a doc_id:
     the largest label counts. None if a class has no document.
     """
-    known = labels.where(~unseen & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
+    known = known_labels(labels, label, unseen)
     shares = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     share = shares.get(1, 0) / max(1, sum(shares.values()))
     hashed = known.withColumn("h", F.xxhash64("doc_id"))
