@@ -57,7 +57,6 @@ class Notice:
                 spans.append((max(0, at - offset - self.errors), at - offset + len(self.text) + self.errors))
                 at = data.find(seed, at + 1)
         found: list[tuple[int, int, int]] = []
-        end = -1
         merged: list[list[int]] = []
         for a, b in sorted(spans):
             if merged and a <= merged[-1][1]:
@@ -65,10 +64,14 @@ class Notice:
             else:
                 merged.append([a, b])
         for a, b in merged:
-            for match in self.pattern.finditer(data, max(a, end), min(b, len(data))):
-                found.append((match.start(), match.end(), sum(match.fuzzy_counts)))
-                end = match.end()
-        return found
+            # The pattern takes the best match of a stretch; worse ones stand before or behind it.
+            todo = [(a, min(b, len(data)))]
+            while todo:
+                a, b = todo.pop()
+                if match := self.pattern.search(data, a, b):
+                    found.append((match.start(), match.end(), sum(match.fuzzy_counts)))
+                    todo += [(match.end(), b), (a, match.start())]
+        return sorted(found)
 
 
 def scan_text(text: str | None, notices: list[Notice]) -> tuple[int, list[tuple[str, int]], list[tuple[str, int, int, int]]]:

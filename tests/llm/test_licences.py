@@ -56,3 +56,8 @@ def test_spans_are_words_of_the_text():
 def test_rows_and_empty_table(spark, empty):
     assert [r["n_words"] for r in records(L.scan(frame(spark, [(None, "a"), (1, "a b"), (1, "a b")])))] == [1, 2, 2]
     assert records(L.digest(L.scan(empty))) == []
+
+
+def test_worse_occurrences_beside_a_better_one_are_found():
+    near = L.scan_text("all rihts reservd all rights reservd all rights reserved all rights resrved", [L.Notice(*x) for x in L.NOTICES])[2]
+    assert [x for x in near if x[0] == "reserved"] == [("reserved", 0, 2, 2), ("reserved", 3, 5, 1), ("reserved", 6, 8, 0), ("reserved", 9, 11, 1)]
