@@ -44,9 +44,10 @@ UNITS = BLOCKS - frozenset("html body head article main br hr li dt dd td th tr
 CLOSES_P = BLOCKS - frozenset("br option tbody td tfoot th thead tr caption body html head".split())
 CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("thead", "tbody", "tr", "td", "th"), "tfoot": ("thead", "tbody", "tr", "td", "th")}
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
-# Words of class, id or role by which an element names itself other than main text.
-NAMES = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|dialog|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|pager|popup|promos?|promotion|recommended|related|replies|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|subscription|toolbar|widgets?)(?:$|[\s_-])", re.I)
-NAMED = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
+# Whole names in class, id or role by which an element names itself other than main text; alone or
+# with words for its place before and for its kind behind. Other compounds (header-image, has-sidebar) say nothing.
+NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|post|entry|article|user|cookie|social|email|google|js)[_-])*(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|dialog|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|pager|popup|promos?|promotion|recommended|related|replies|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|subscription|toolbar|widgets?)(?:[_-](?:ads?|area|banners?|bars?|block|box|buttons?|container|content|form|icons?|inner|links?|list|menu|nav|notice|popup|section|slot|top|unit|widgets?|wrap|wrapper|articles|posts|stories))*(?=$|\s)", re.I)
+NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|$|=|/)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|<!(?=[a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
 ARTICLE, MAIN = "article", "main"
@@ -64,7 +65,7 @@ class Element:
             return True
         if self.tag in ("html", "body", ARTICLE, MAIN) and not (self.tag == ARTICLE and "comment" in self.attributes.lower()):
             return False
-        return bool(self.attributes) and (bool(HIDDEN.search(self.attributes)) or any(NAMES.search(" ".join(x)) for x in NAMED.findall(self.attributes)))
+        return bool(self.attributes) and (bool(HIDDEN.search(self.attributes)) or any(NAMES.search("".join(x)) for kind, *x in NAMED.findall(self.attributes) if kind.lower() != "id" or self.tag not in LINES))
 
 
 def parse(html: str) -> Element:

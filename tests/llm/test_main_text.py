@@ -86,3 +86,12 @@ def test_what_holds_most_of_a_page_stays():
     html = "<body><div><p>Nearly all that this page has to say</p></div><p>End</p></body>"
     page = M.Page(html)
     assert M.main_text(html, set(page.hashes.values()) - {0}) == "Nearly all that this page has to say"
+
+
+@pytest.mark.parametrize(("html", "text"), [
+    ('<article><h2 id="search">Search</h2>a</article>', "Search a"), ('<article><section id="related-work">Work</section>a</article>', "Work a"), ('<article><h2 id="share-prices">Prices</h2>a</article>', "Prices a"),
+    ('<article><p class="header-image">Image</p>a</article>', "Image a"), ('<article><div class="has-sidebar">Text</div>a</article>', "Text a"), ('<article class="post comments-open">Text</article>', "Text"),
+    ('<article>a<div class="x share-buttons">b</div><div id="comments">c</div><section class="related-posts">d</section><div role="navigation">e</div></article>', "a"),
+])
+def test_only_whole_names_say_that_an_element_is_not_main_text(html, text):
+    assert M.main_text(html) == text
