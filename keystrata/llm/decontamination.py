@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.scratch import without, write
+from keystrata.llm.scratch import few, write
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
@@ -127,4 +127,4 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window of ``benchmark`` occurs."""
     dirty = write(hits(docs, benchmark).select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")), "dirty")
-    return without(docs, dirty, docs["doc_id"].eqNullSafe(dirty["of_doc"]) & (F.xxhash64(docs["text"]) == dirty["of_text"]))
+    return docs.join(few(dirty), docs["doc_id"].eqNullSafe(dirty["of_doc"]) & (F.xxhash64(docs["text"]) == dirty["of_text"]), "left_anti")

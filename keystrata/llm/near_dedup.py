@@ -3,23 +3,27 @@
 1. A text is the set of its shingles, ``size`` words each. Each of ``REGISTERS`` registers is the least of exponential
    values that the shingles draw, on a scale of powers of ``BASE``, cut off at ``LIMIT``: registers of a
    union are the larger of the registers, and equal with a probability that grows with the similarity.
-2. Texts with equal words are one class, represented by its least doc_id. Only classes go on.
-3. ``BANDS`` bands of ``ROWS`` registers are the buckets. A pair at similarity 0.8 shares none of them with
-   a probability of 5e-8.
-4. Every bucket's members are compared with its pivots, the members with fewest shingles of their own
-   among the bucket's kin. Links join classes to components (large and small stars, no component in one task).
-5. Members of one bucket that are not yet in one component are all compared, so no link that could join
-   two components is left out. In buckets of up to ``CROWD`` members these are pairs. Larger ones are dealt
-   into blocks of about ``BLOCK`` members; two blocks are a cell, whose sets are compared as one product of
-   matrices, and which yields a row for each two components that it joins and no pairs. Members with over a
-   fifth of shingles that no other member of a crowded bucket has can't have a link there and stay out.
-6. A pair is compared by the likelihood of its registers first: under ``DOUBT`` (six deviations below 0.8)
-   it is let go. The others, and all in cells, are decided on the full sets.
+2. Texts with equal words are one class, whose name is a 64-bit hash of its words. Only classes go on.
+3. Bands of registers are the buckets, as many registers in one as let a pair at the similarity sought miss
+   all bands with a probability under ``MISS`` (four at 80 percent).
+4. Every bucket's members are compared with its pivot: in buckets of up to ``CROWD`` members the one with the
+   least name, in larger ones the one with fewest shingles of its own, those that no other member of a
+   crowded bucket has. A member with too many of its own for any link stays out of crowded buckets. Links
+   join classes to components (large and small stars, no component in one task).
+5. Buckets that lie within one component are done. In the others, members of different components are all
+   compared, so no link that could join two components is left out. In buckets of up to ``CROWD`` members
+   these are pairs, without those already tried. Larger ones are dealt into blocks of bounded size, the
+   bucket's largest component apart from the rest; two blocks, not both of the largest component, are a
+   cell, named by their numbers, whose sets are compared as one product of matrices and which yields a row
+   for each two components that it joins and no pairs.
+6. A pair is compared by the likelihood of its registers first: 6.8 deviations below the similarity sought it
+   is let go. The others, and all in cells, are decided on the full sets.
 
 A document without words has no shingles, is linked with nothing and is a component of its own. With
-fewer words than a shingle the whole sequence is the one shingle. Each row belongs to the class of its
-text; classes that have the same least doc_id, where rows repeat one, are joined. A null doc_id has its
-class's component, or null where the class has no other. Empty tables give no rows.
+fewer words than a shingle the whole sequence is the one shingle; very long texts are sets like any other.
+Each row belongs to the class of its text, so rows that repeat a doc_id with other texts are told apart. A
+component's id is its least doc_id; a null doc_id has its component's, or null where that has no other.
+Columns other than doc_id and text are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -28,20 +32,26 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.scratch import bound_batches, without, write
-from keystrata.llm.words import Recent, per_worker, spaced_bytes
+from keystrata.llm.scratch import Tables, bound_batches, few, write
+from keystrata.llm.words import release, spaced_bytes
 
-REGISTERS, ROWS = 128, 4
-BANDS = REGISTERS // ROWS
+REGISTERS, MISS = 128, 1e-7
 BASE, LIMIT, RATE = 1.001, 65534, 20.0
-CROWD, PIVOTS, BLOCK = 24, 6, 512
-DOUBT = 0.56
+CROWD, BLOCK, BLOCK_BYTES = 24, 512, 1 << 20
+
+
+def band_rows(percent: int) -> int:
+    """Registers in a band: the most that let a pair at ``percent`` miss all bands with a probability under MISS."""
+    j = percent / 100
+    found = [r for r in range(1, 17) if j <= 1 and (1 - j**r) ** (REGISTERS // r) <= MISS]
+    if not found:
+        raise ValueError(f"{REGISTERS} registers can't find pairs at {percent} percent")
+    return found[-1]
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -59,8 +69,7 @@ def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
     """Distinct 64-bit hashes of the shingles of ``words``, ascending."""
     if not words:
         return np.empty(0, np.uint64)
-    ids = per_worker("word_hashes", lambda: Recent(xxhash.xxh3_64_intdigest))
-    h = np.fromiter(map(ids.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(size, len(words))
     out = np.full(len(words) - size + 1, size, np.uint64)
     for k in range(size):
@@ -90,181 +99,226 @@ def likely(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np
 
 
 def _sketched(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, words (16-byte hash of the word sequence, null without words), n_shingles, registers."""
+    """doc_id, text_hash, words (hash of the word sequence, null without words), n_shingles, registers."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            keys, sizes, regs = [], [], []
-            for text in batch.column(1).to_pylist():
+            names, sizes, regs = [], [], []
+            for text in batch.column(2).to_pylist():
                 words = spaced_bytes(text)
                 hashes = shingle_hashes(words, size)
-                keys.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+                names.append(int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True) if words else None)
                 sizes.append(len(hashes))
                 regs.append(registers(hashes).tobytes() if words else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())], ["doc_id", "words", "n_shingles", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(names, pa.int64()), pa.array(sizes, pa.int64()), pa.array(regs, pa.binary())],
+                ["doc_id", "text_hash", "words", "n_shingles", "registers"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sketch, "doc_id long, words binary, n_shingles long, registers binary")
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), "text")
+    return keyed.mapInArrow(sketch, "doc_id long, text_hash long, words long, n_shingles long, registers binary")
 
 
-def _sets(docs: DataFrame, size: int) -> DataFrame:
-    """id, n and the packed shingle set of documents (id, text)."""
+def _sets(texts: DataFrame, size: int) -> DataFrame:
+    """id and the packed shingle set of texts (id, text)."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            found = [shingle_hashes(spaced_bytes(text), size) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["id", "shingles"])
-
-    return docs.mapInArrow(sets, "id long, shingles binary")
+            found = [shingle_hashes(spaced_bytes(text), size).tobytes() for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["id", "shingles"])
 
+    return texts.mapInArrow(sets, "id long, shingles binary")
 
-def _estimated(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose registers don't speak against a link."""
-
-    def doubted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (4, 5))
-                na, nb = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
-                yield batch.select([0, 1]).filter(pa.array(likely(ra, rb, na, nb) >= DOUBT))
-
-    s = sketches.select("id", "n_shingles", "registers")
-    joined = pairs.join(s.toDF("a", "na", "ra"), "a").join(s.toDF("b", "nb", "rb"), "b").where((F.least("na", "nb") * 100 >= F.greatest("na", "nb") * 80))
-    return joined.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(doubted, "a long, b long")
 
-
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union, decided on full sets."""
+def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) with 100 * intersection >= percent * union: by their registers first, then on full sets."""
+    j = percent / 100
+    doubt = j - 6.8 * (j * (1 - j) / REGISTERS) ** 0.5
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
-            good = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(x) + len(y) - len(np.union1d(x, y))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(good, pa.bool_()))
-
-    joined = pairs.join(sets.toDF("a", "sa"), "a").join(sets.toDF("b", "sb"), "b")
-    return joined.select("a", "b", "sa", "sb").mapInArrow(linked, "a long, b long")
-
-
-def joined_components(sets: list[np.ndarray], component: np.ndarray, percent: int) -> np.ndarray:
-    """Pairs of different components (rows) that some pair of ``sets`` links, from products of 0-1 matrices."""
-    sizes = np.array([len(x) for x in sets])
-    shingle, member = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+            if not batch.num_rows:
+                continue
+            na, nb = (batch.column(i).to_numpy().astype(float) for i in (2, 3))
+            ra, rb = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, REGISTERS) for i in (4, 5))
+            good = (np.minimum(na, nb) * 100 >= np.maximum(na, nb) * percent) & (likely(ra, rb, na, nb) >= doubt)
+            for n in np.flatnonzero(good):
+                x, y = (np.frombuffer(batch.column(i)[n].as_buffer(), np.uint64) for i in (6, 7))
+                union = len(np.union1d(x, y))
+                good[n] = 100 * (len(x) + len(y) - union) >= percent * union
+            yield batch.select([0, 1]).filter(pa.array(good))
+
+    kept = ["id", "n_shingles", "registers", "shingles"]
+    joined = pairs.join(sets.select(kept).toDF("a", "na", "ra", "sa"), "a").join(sets.select(kept).toDF("b", "nb", "rb", "sb"), "b")
+    return joined.select("a", "b", "na", "nb", "ra", "rb", "sa", "sb").mapInArrow(linked, "a long, b long")
+
+
+def joined_components(one: tuple[list[np.ndarray], np.ndarray], other: tuple[list[np.ndarray], np.ndarray], percent: int) -> np.ndarray:
+    """Pairs of different components (rows, ascending) that a set of ``one`` and one of ``other`` link.
+
+    Each side has its sets and their components; intersections are products of 0-1 matrices.
+    """
+    (left, first), (right, second) = one, other
+    sizes = np.array([len(x) for x in [*left, *right]])
+    shingle, member = np.concatenate([*left, *right]), np.repeat(np.arange(len(sizes)), sizes)
     order = np.argsort(shingle, kind="stable")
     shingle, member = shingle[order], member[order]
     column = np.cumsum(np.r_[0, shingle[1:] != shingle[:-1]])
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    for first in range(0, column[-1] + 1, 4096):
-        a, b = np.searchsorted(column, (first, first + 4096))
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[member[a:b], column[a:b] - first] = 1
-        both += part @ part.T
-    linked = 100 * both >= percent * (sizes[:, None] + sizes[None, :] - both)
-    x, y = np.nonzero(linked & (component[:, None] < component[None, :]))
-    return np.unique(np.column_stack([component[x], component[y]]), axis=0)
-
-
-def _crossed(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Components (a, b) with a link between them inside crowded buckets (bucket, id, component, now members)."""
-
-    def cell(rows: pd.DataFrame) -> pd.DataFrame:
-        found = joined_components([np.frombuffer(x, np.uint64) for x in rows["shingles"]], rows["component"].to_numpy(), percent)
-        return pd.DataFrame(found, columns=["a", "b"])
-
-    blocks = F.ceil(F.col("now") / BLOCK).cast("int")
-    dealt = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "id", "component")
-    return dealt.join(sets, "id").groupBy("bucket", "i", "j").applyInPandas(cell, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
+    both = np.zeros((len(left), len(right)), np.float32)
+    for start in range(0, column[-1] + 1, 4096):
+        a, b = np.searchsorted(column, (start, start + 4096))
+        part = np.zeros((len(sizes), 4096), np.float32)
+        part[member[a:b], column[a:b] - start] = 1
+        both += part[: len(left)] @ part[len(left) :].T
+    union = sizes[: len(left), None] + sizes[None, len(left) :] - both
+    x, y = np.nonzero((100 * both >= percent * union) & (first[:, None] != second[None, :]))
+    return np.unique(np.sort(np.column_stack([first[x], second[y]]), axis=1), axis=0)
+
+
+def _crossed(members: DataFrame, sets: DataFrame, percent: int, tables: Tables) -> DataFrame:
+    """Components (a, b) with a link between them inside crowded buckets (bucket, id, n_shingles, component)."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for batch in batches:
+            for row in batch.to_pylist():
+                sides = [([np.frombuffer(x, np.uint64) for x in row[f"sets_{s}"]], np.array(row[f"components_{s}"])) for s in "xy"]
+                found = joined_components(*sides, percent)
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
+
+    largest = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).getField("component").alias("largest"))
+    sided = members.join(largest, "bucket").withColumn("rest", F.col("component") != F.col("largest"))
+    blocks = F.ceil(F.greatest(F.sum("n_shingles") * 8 / BLOCK_BYTES, F.count("*") / BLOCK)).cast("int")
+    dealt = sided.join(sided.groupBy("bucket", "rest").agg(blocks.alias("blocks")), ["bucket", "rest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    packed = dealt.join(sets.select("id", "shingles"), "id").groupBy("bucket", "rest", "block").agg(F.collect_list(F.struct("component", "shingles")).alias("held"))
+    packed = tables.write(packed.select("bucket", "rest", "block", F.col("held.component").alias("components"), F.col("held.shingles").alias("sets")), "blocks")
+    names = packed.select("bucket", "rest", "block")
+    x, y = names.where("rest").toDF("bucket", "rest_x", "block_x"), names.toDF("of", "rest_y", "block_y")
+    cells = x.join(y, (x["bucket"] == y["of"]) & (~F.col("rest_y") | (F.col("block_x") <= F.col("block_y")))).drop("of")
+    for side in "xy":
+        cells = cells.join(packed.toDF("bucket", f"rest_{side}", f"block_{side}", f"components_{side}", f"sets_{side}"), ["bucket", f"rest_{side}", f"block_{side}"])
+    return cells.select("components_x", "sets_x", "components_y", "sets_y").mapInArrow(compare, "a long, b long").distinct()
+
+
+def components(edges: DataFrame, tables: Tables) -> DataFrame:
     """id, component of every node of ``edges`` (a, b): the least id that it reaches.
 
     Alternates large stars and small stars; each step is a least neighbour for every node and a join, so
     no node's neighbours are ever collected. Every step is written to the shared folder.
     """
-    edges = write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    seen = None
-    while True:
+    state = lambda of: of.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+    edges = tables.write(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    seen = state(edges)
+    while seen[0]:
         both = edges.unionAll(edges.select("b", "a").toDF("a", "b"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        edges = write(small, "edges")
-        state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == seen:
-            return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
-        seen = state
+        edges = tables.write(small, "edges")
+        before, seen = seen, state(edges)
+        if seen == before:
+            break
+    return edges.select(F.col("a").alias("id"), F.col("b").alias("component"))
 
 
-def _labelled(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """``rows`` (id, ...) with the component that ``found`` has for their id, or the id itself."""
-    return rows.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _classed(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataFrame]:
+    """Rows (doc_id, text_hash, words, n_shingles) of ``docs``, and of each class: words, root (of its component), component_id."""
+    spark, rows_of_band = docs.sparkSession, band_rows(percent)
+    bound_batches(spark)
+    rows = write(_sketched(docs, size), "sketches")
+    with Tables(spark) as tables:
+        first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "text_hash"))
+        classes = rows.where("words IS NOT NULL").groupBy("words").agg(first.alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
+        classes = tables.write(classes.select(F.col("words").alias("id"), "first.doc_id", "first.text_hash", "n_shingles", "registers"), "classes")
+
+        bands = [F.xxhash64(F.lit(k), F.substring("registers", 2 * rows_of_band * k + 1, 2 * rows_of_band)) for k in range(REGISTERS // rows_of_band)]
+        member = classes.select("id", "n_shingles", F.explode(F.array(*bands)).alias("bucket"))
+        bucket = member.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1")
+        member = tables.write(member.join(bucket, "bucket"), "members")
+
+        known = tables.write(classes.join(member.select("id").distinct(), "id", "left_semi"), "known")
+        wanted = few(known.select("id", F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")))
+        texts = docs.select(F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("hash"), "text")
+        texts = texts.join(wanted, F.equal_null("doc", "of_doc") & (F.col("hash") == F.col("of_text"))).select("id", "text")
+        made = _sets(texts, size).groupBy("id").agg(F.first("shingles").alias("shingles"))
+        sets = tables.write(made.join(known.select("id", "n_shingles", "registers"), "id"), "sets")
+
+        crowded = member.where(F.col("members") > CROWD).drop("pivot")
+        inside = _unpacked(sets.join(crowded.select("id").distinct(), "id", "left_semi").select("id", "shingles"))
+        own = inside.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
+        crowded = crowded.join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0))).where(F.col("own") * 100 <= F.col("n_shingles") * (100 - percent))
+        crowded = tables.write(crowded, "crowded")
+        small = member.where(F.col("members") <= CROWD)
+
+        pivot = crowded.groupBy("bucket").agg(F.min(F.struct("own", "id", "n_shingles")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.own").alias("p_own"), F.col("p.n_shingles").alias("p_n"))
+        # What is one's own is in the union and not in the intersection.
+        hope = F.least(F.col("n_shingles") - F.col("own"), F.col("p_n") - F.col("p_own")) * 100 >= F.greatest(F.col("n_shingles") + F.col("p_own"), F.col("p_n") + F.col("own")) * percent
+        star = small.select("id", "pivot").unionAll(crowded.join(pivot, "bucket").where(hope).select("id", "pivot")).where("id <> pivot")
+        star = tables.write(star.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct(), "star")
+        found = components(_linked(star, sets, percent), tables)
+
+        part = small.select("bucket", "id", "n_shingles", "members").unionAll(crowded.select("bucket", "id", "n_shingles", "members"))
+        part = tables.write(part.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "parts")
+        mixed = part.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
+        open_ = tables.write(part.join(mixed, "bucket", "left_semi"), "open")
+        rest = open_.where(F.col("members") <= CROWD).select("bucket", "id", "n_shingles", "component")
+        x, y = rest.toDF("bucket", "a", "na", "ca"), rest.toDF("of", "b", "nb", "cb")
+        near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
+        rest = x.join(y, (x["bucket"] == y["of"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & near).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
+        more = _linked(rest, sets, percent)
+        crowd = open_.where(F.col("members") > CROWD).select("bucket", "id", "n_shingles", "component")
+        if crowd.take(1):
+            more = more.unionAll(_crossed(crowd, sets, percent, tables))
+        more = tables.write(more, "more")
+        if more.take(1):
+            found = components(found.toDF("a", "b").unionAll(more), tables)
+
+        joined = tables.write(classes.select("id", "doc_id").join(found.where("id <> component").unionAll(found.select("component", "component").distinct()), "id"), "joined")
+        least = joined.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+        named = joined.select("id", "component").join(least, "component")
+        labelled = classes.select("id", "doc_id").join(named, "id", "left").select(F.col("id").alias("words"), F.coalesce("component", "id").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        labelled = write(labelled, "labelled")
+    return rows.select("doc_id", "text_hash", "words", "n_shingles"), labelled
 
 
 def near_duplicates(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept."""
-    bound_batches(docs.sparkSession)
-    rows = write(_sketched(docs, size), "sketches")
-    classes = rows.where("words IS NOT NULL").groupBy("words").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers"))
-    classes = write(classes, "classes")
-    some = classes.where("id IS NOT NULL")
-
-    band = [F.struct(F.lit(k).alias("k"), F.xxhash64(F.lit(k), F.substring("registers", 2 * ROWS * k + 1, 2 * ROWS)).alias("h")) for k in range(BANDS)]
-    member = some.select("id", "n_shingles", F.explode(F.array(*band)).alias("band")).select("id", "n_shingles", F.col("band.h").alias("bucket"))
-    crowd = member.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
-    member = write(member.join(crowd, "bucket"), "members")
-
-    known = member.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("id"), "text").join(known, "id").groupBy("id", F.xxhash64("text").alias("h")).agg(F.first("text").alias("text")).select("id", "text")
-    sets = write(_sets(texts, size), "sets")
-
-    crowded = member.where(F.col("members") > CROWD)
-    inside = sets.join(crowded.select("id").distinct(), "id")
-    shingle = _unpacked(inside)
-    single = shingle.groupBy("shingle").agg(F.count("*").alias("n"), F.min("id").alias("id")).where("n = 1").groupBy("id").agg(F.count("*").alias("own"))
-    crowded = write(_own(crowded, single).where(F.col("own") * 100 <= F.col("n_shingles") * (100 - percent)), "crowded")
-    small = member.where(F.col("members") <= CROWD).withColumn("own", F.lit(0).cast("long"))
-    member = small.unionAll(crowded.select(*small.columns))
-
-    order = Window.partitionBy("bucket").orderBy("own", F.xxhash64("id"), "id")
-    pivot = small.groupBy("bucket").agg(F.min(F.struct("own", F.xxhash64("id").alias("r"), F.col("id"))).getField("id").alias("pivot"))
-    pivot = pivot.unionAll(crowded.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= PIVOTS).select("bucket", F.col("id").alias("pivot")))
-    star = member.select("bucket", "id").join(pivot, "bucket").where("id <> pivot").select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()
-    star = write(star, "star")
-    links = write(_verified(_estimated(star, some), sets, percent), "links")
-
-    part = write(_labelled(member, components(links)), "parts")
-    mixed = part.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("now")).where("lo < hi").select("bucket", "now")
-    open_ = write(part.join(mixed, "bucket").select("bucket", "id", "n_shingles", "component", "members", "now"), "open")
-    few = open_.where(F.col("members") <= CROWD).select("bucket", "id", "n_shingles", "component")
-    x, y = few.toDF("bucket", "a", "na", "ca"), few.toDF("bucket", "b", "nb", "cb")
-    rest = x.join(y, (x["bucket"] == y["bucket"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)).select("a", "b").distinct().join(star, ["a", "b"], "left_anti")
-    more = _verified(write(_estimated(rest, some), "rest"), sets, percent).unionAll(_crossed(open_.where(F.col("members") > CROWD), sets, percent))
-
-    found = components(links.unionAll(more))
-    by_class = classes.select("words", "id").join(found, "id", "left").select("words", F.coalesce("component", "id").alias("component"))
-    out = rows.select("doc_id", "words", "n_shingles").join(by_class, "words", "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null("doc_id", component).alias("kept"))
+    rows, classes = _classed(docs, percent, size)
+    component = F.coalesce("component_id", "doc_id")
+    return rows.join(classes, "words", "left").select("doc_id", "n_shingles", component.alias("component_id"), F.equal_null("doc_id", component).alias("kept"))
 
 
 def representatives(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """The rows of ``docs``, with all their columns, that are kept: one document of each component.
+    """One row of ``docs``, with all its columns, of each component; rows without words are components each.
 
-    Rows without a doc_id are kept.
+    The row with the component's least doc_id stays. Where rows repeat that, the least hash of a text decides,
+    then any of equal rows; without any doc_id, any row.
     """
-    dropped = write(near_duplicates(docs, percent, size).where(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("of_doc")), "dropped")
-    return without(docs, dropped, docs["doc_id"] == dropped["of_doc"])
+    with Tables(docs.sparkSession) as tables:
+        rows, classes = _classed(docs, percent, size)
+        named = tables.write(rows.where("words IS NOT NULL").join(classes, "words").select("doc_id", "text_hash", "root", "component_id"), "named")
+        first = named.where(F.equal_null("doc_id", "component_id")).groupBy("root").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash"), F.first("doc_id").alias("doc_id"))
+        first = tables.write(first, "first")
+        names = ["_of_doc", "_of_text", "_root"]
+        several = write(first.where("n > 1").select("doc_id", "text_hash", "root").toDF(*names), "several")
+        single = first.where("n = 1").select("doc_id", "text_hash")
+        other = named.select("doc_id", "text_hash").distinct().join(single, F.equal_null(named["doc_id"], single["doc_id"]) & (named["text_hash"] == single["text_hash"]), "left_anti")
+        dropped = write(other.toDF(*names[:2]), "dropped")
+    same = docs["doc_id"].cast("long").eqNullSafe(F.col("_of_doc")) & (F.xxhash64(docs["text"]) == F.col("_of_text"))
+    kept = docs.join(few(dropped), same, "left_anti")
+    if not several.take(1):
+        return kept
+    whole = F.first(F.struct(*[docs[c] for c in docs.columns])).alias("_row")
+    return kept.unionAll(docs.join(few(several), same).groupBy("_root").agg(whole).select("_row.*"))
 
 
 def _unpacked(sets: DataFrame) -> DataFrame:
     """id and shingle, a row for each element of the packed sets."""
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [np.frombuffer(packed, np.int64) for packed in batch.column(1).to_pylist()]
             if found:
@@ -272,7 +326,3 @@ def _unpacked(sets: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate(found))], ["id", "shingle"])
 
     return sets.mapInArrow(unpack, "id long, shingle long")
-
-
-def _own(members: DataFrame, single: DataFrame) -> DataFrame:
-    return members.join(single, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)).cast("long"))

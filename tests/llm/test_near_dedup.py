@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from keystrata.llm import near_dedup as N
+from keystrata.llm.scratch import Tables
 from tests.llm.conftest import frame, records
 
 
@@ -56,7 +57,6 @@ def test_equals_all_pairs(spark, prose, size):
 def test_crowded_buckets_lose_no_link(spark, prose, monkeypatch):
     """One group of many near copies, with the bound for crowds so low that its way is taken."""
     monkeypatch.setattr(N, "CROWD", 6)
-    monkeypatch.setattr(N, "PIVOTS", 2)
     monkeypatch.setattr(N, "BLOCK", 20)
     rnd, base, texts = random.Random(3), prose(120).split(), []
     for _ in range(70):
@@ -98,6 +98,63 @@ def test_registers_merge_as_unions_and_estimate():
 
 def test_components_of_chains_and_stars(spark):
     chain = [(i, i + 1) for i in range(30)] + [(100 + i, 150) for i in range(40)] + [(7, 7)]
-    found = {r["id"]: r["component"] for r in records(N.components(spark.createDataFrame(chain, "a long, b long")))}
+    with Tables(spark) as tables:
+        found = {r["id"]: r["component"] for r in records(N.components(spark.createDataFrame(chain, "a long, b long"), tables))}
     assert {i: c for i, c in found.items() if i < 50} == {i: 0 for i in range(1, 31)}
     assert {found[i] for i in [*range(101, 140), 150]} == {100}
+
+
+@pytest.mark.parametrize("percent", [60, 70, 90])
+def test_other_similarities(spark, prose, percent):
+    texts = corpus(prose, random.Random(percent))
+    found = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in records(N.near_duplicates(frame(spark, texts), percent=percent, size=1))}
+    assert found == brute(texts, 1, percent)
+
+
+def test_similarities_without_enough_registers_are_refused(docs):
+    with pytest.raises(ValueError):
+        N.near_duplicates(docs(["a b"]), percent=5)
+    assert N.band_rows(80) == 4
+
+
+def test_one_group_of_thousands(spark, prose, monkeypatch):
+    """Copies with up to a fifth of their words changed, most from a small vocabulary: all pairs, in crowded buckets."""
+    monkeypatch.setattr(N, "BLOCK", 100)
+    rnd, base = random.Random(8), prose(60).split()
+    texts = []
+    for _ in range(2000):
+        w = list(base)
+        for _ in range(rnd.randrange(0, 7)):
+            w[rnd.randrange(len(w))] = rnd.choice(base) if rnd.random() < 0.5 else prose(1)
+        texts.append(" ".join(w))
+    sets = [frozenset(zip(w, w[1:], strict=False)) for w in map(str.split, texts)]
+    number = {g: i for i, g in enumerate(set().union(*sets))}
+    m = np.zeros((len(sets), len(number)), np.float32)
+    for i, x in enumerate(sets):
+        m[i, [number[g] for g in x]] = 1
+    both, n = m @ m.T, m.sum(axis=1)
+    linked = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+    least = np.arange(len(sets))
+    while True:
+        lower = np.where(linked, least[None, :], len(sets)).min(axis=1)
+        if (lower == least).all():
+            break
+        least = lower
+    found = {r["doc_id"]: r["component_id"] for r in records(N.near_duplicates(frame(spark, texts), size=2))}
+    assert [found[i] for i in range(len(texts))] == least.tolist()
+    assert len(set(least.tolist())) > 20
+
+
+def test_an_identifier_with_several_texts(spark, prose):
+    """Links belong to texts: doc 4 stands for a text that copies doc 3, and for one that copies nothing."""
+    a, b = prose(80), prose(80)
+    docs = frame(spark, [(3, a), (4, a + " more"), (4, b), (9, b)])
+    assert sorted((r["doc_id"], r["component_id"]) for r in records(N.near_duplicates(docs))) == [(3, 3), (4, 3), (4, 4), (9, 4)]
+    assert sorted((r["doc_id"], r["text"]) for r in records(N.representatives(docs))) == sorted([(3, a), (4, b)])
+
+
+def test_one_of_equal_rows_and_of_rows_without_id_stays(spark, prose):
+    a, b, c = prose(60), prose(60), prose(60)
+    docs = frame(spark, [(1, a), (1, a), (2, a), (None, b), (None, b), (None, c), (8, c), (5, ""), (5, "")])
+    kept = sorted(((r["doc_id"], r["text"]) for r in records(N.representatives(docs))), key=str)
+    assert kept == sorted([(1, a), (None, b), (8, c), (5, ""), (5, "")], key=str)
