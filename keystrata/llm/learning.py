@@ -73,9 +73,8 @@ def newton(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float, bias: bo
     return w
 
 
-def logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.5) -> Curve:
-    """A curve fitted with equal weight for both classes."""
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, l2: float = 1.0) -> Curve:
+    """A curve fitted with a weight for each row, scaled to a mean of 1."""
     middle, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
-    w = newton((x - middle) / scale, y.astype(float), weight, l2, True)
+    w = newton((x - middle) / scale, y.astype(float), weight / weight.mean(), l2, True)
     return Curve(middle, scale, w[:-1], float(w[-1]))
