@@ -32,9 +32,12 @@ def spaced_bytes(text: str | None) -> list[bytes]:
 class Recent(dict):
     """A bounded cache for ``map(cache.__getitem__, keys)``: two generations of at most ``limit`` entries.
 
-    A key that is used again moves to the young generation; when that is full, the old one is dropped.
+    A key that is used again moves to the young generation; when that is full, the old one is dropped. Keys
+    longer than ``LONGEST`` are not kept, so entries are small.
     """
 
+    LONGEST = 128
+
     def __init__(self, make: Callable, limit: int = 250_000):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
@@ -43,8 +46,11 @@ class Recent(dict):
         value = self.old.pop(key, None)
         if value is None:
             value = self.make(key)
+            if len(key) > self.LONGEST:
+                return value
         if len(self) >= self.limit:
-            self.old = dict(self)
+            self.old.clear()  # before the young ones are copied: never three generations
+            self.old.update(self)
             self.clear()
         self[key] = value
         return value
@@ -54,6 +60,7 @@ def per_worker(name: str, make: Callable, version: str = ""):
     """One object in each Python worker process, kept from task to task while Spark reuses the worker.
 
     Another name or version takes its place, so a worker never holds the caches of several operators.
+    Operators without caches of their own call ``release``, so that theirs is the worker's whole memory.
     """
     store = sys.modules.setdefault("_keystrata_worker", types.ModuleType("_keystrata_worker"))
     if getattr(store, "key", None) != (name, version):
@@ -62,6 +69,11 @@ def per_worker(name: str, make: Callable, version: str = ""):
     return store.kept
 
 
+def release() -> None:
+    """Gives up what ``per_worker`` keeps."""
+    per_worker("", lambda: None)
+
+
 def byte_level(text: str) -> str:
     """The byte-level alphabet: printable Latin-1 bytes stand for themselves, the other 68 follow from U+0100."""
     return text.encode().decode("latin-1").translate(_BYTE_LEVEL)
@@ -76,15 +88,16 @@ class Chunks:
 
     The pre-tokenizers of both vocabularies never join characters across the boundaries used here: white
     space for ``spaced=False`` (white space has no tokens), the start of a white-space run for
-    ``spaced=True`` (a run belongs to the word after it), and a letter followed by one of ``, . ; : ! ?``.
+    ``spaced=True`` (a run belongs to the word after it), and a letter followed by one of ``, . ; : ! ?``
+    (a letter as the normalizer leaves it: some become a letter and a mark, which goes with what follows).
     Letters alone (after at most one space) are one pre-token, which goes straight to the library's model;
-    any other chunk goes through the library's whole pipeline. Texts with special strings, or with controls
-    which Python alone takes for white space, go whole to the library. ``pack`` turns a list of ids into
-    the cached value, ``join`` adds up such values; ``seed`` holds values of frequent chunks.
+    any other chunk goes through the library's whole pipeline. Texts with special strings of the tokenizer, or
+    with controls which Python alone takes for white space, go whole to the library. ``pack`` turns a list of
+    ids into the cached value, ``join`` adds up such values; ``seed`` holds values of frequent chunks.
     """
 
-    #: How special strings begin; and four controls that Python takes for white space and the library does not.
-    ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f")
+    #: Four controls that Python takes for white space and the library does not.
+    CONTROLS = ("\x1c", "\x1d", "\x1e", "\x1f")
     RUN = re.compile(r"\s*\S+|\s+")
 
     def __init__(self, path: str, spaced: bool, pack: Callable, join: Callable, seed: dict | None = None, limit: int = 350_000):
@@ -92,6 +105,10 @@ class Chunks:
 
         self.tokenizer, self.spaced, self.pack, self.join = Tokenizer.from_file(path), spaced, pack, join
         self.tokenize, self.normalizer = self.tokenizer.model.tokenize, self.tokenizer.normalizer
+        # Special strings are known by the signs before their first letter, for lower case may make one.
+        added = [(re.match(r"\W*", x.content)[0], x.normalized) for x in self.tokenizer.get_added_tokens_decoder().values()]
+        self.odd = (*{signs for signs, _ in added}, *self.CONTROLS)
+        self.whole = any(normalized or not signs for signs, normalized in added)  # nothing tells where they may be
         self.seed, self.inner, self.cache = seed or {}, Recent(self._inner, limit // 2), Recent(self._chunk, limit)
 
     def _encode(self, text: str):
@@ -122,12 +139,18 @@ class Chunks:
             return self.join((self.inner["\n"], self._chunk(chunk[1:])))
         if len(chunk) > 64:
             return self._encode(chunk)
-        if chunk[-1] in ",.;:!?" and chunk[-2:-1].isalpha():
+        if chunk[-1] in ",.;:!?" and chunk[-2:-1].isalpha() and self._ends_in_letter(chunk[:-1]):
             return self.join((self.inner[chunk[:-1]], self.inner[chunk[-1]]))
         return self.inner[chunk]
 
+    def _ends_in_letter(self, piece: str) -> bool:
+        """Whether a piece that ends in a letter still does once it is normalized."""
+        if not self.normalizer or max(piece) < "\u0250" and "\u0130" not in piece:
+            return True
+        return self.normalizer.normalize_str(piece)[-1:].isalpha()
+
     def parts(self, text: str) -> Iterable:
-        if any(odd in text for odd in self.ODD):
+        if self.whole or any(odd in text for odd in self.odd):
             return (self._encode(text),)
         if self.spaced:
             return map(self.cache.__getitem__, self.RUN.findall(text))

@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import numpy as np
@@ -26,11 +27,22 @@ def test_chunks_equal_the_library(path, spaced, prose):
         assert np.frombuffer(chunks(text), "<u4").tolist() == ids(path, text), text
 
 
+@pytest.mark.parametrize(("path", "spaced"), [(WORD, False), (BYTE, True)])
+def test_chunks_equal_the_library_on_odd_strings(path, spaced):
+    """Letters that lower case or composition takes apart, marks, special strings and all kinds of white space."""
+    pick, tokenizer, chunks = random.Random(12), Tokenizer.from_file(path), Chunks(path, spaced, list, lambda parts: [x for p in parts for x in p])
+    signs = [*"aEzßÉ09 ,.;:!?'-\n\t\u0130\u0131\u0307\u0301\u0958\u09df\ufb1d\u1e9e\u03a3\u00b2\u2160\u00a0\u2003\u0085\u200b\u4e2d\uac00\u1100\u1161\u0345\u0149\x1c\x00", "<|", "|>", "endoftext", "<|endoftext|>", "<|startoftext|>", " İ.", "I'LL"]
+    texts = ["İ.", "İSTANBUL İ.", "क़!", *("".join(pick.choices(signs, k=pick.randrange(1, 14))) for _ in range(50_000))]
+    for text, wanted in zip(texts, tokenizer.encode_batch(texts, add_special_tokens=False), strict=True):
+        assert chunks(text) == wanted.ids, text
+
+
 def test_recent_forgets_but_stays_right():
     calls = []
     cache = Recent(lambda k: calls.append(k) or k * 2, limit=3)
-    assert [cache[k] for k in [1, 2, 3, 1, 4, 1, 5, 6, 7, 8, 1]] == [2, 4, 6, 2, 8, 2, 10, 12, 14, 16, 2]
+    assert [cache[k] for k in "abcadaefgha"] == [k * 2 for k in "abcadaefgha"]
     assert len(cache) + len(cache.old) <= 6
+    assert cache["x" * 200] == "x" * 400 and "x" * 200 not in cache
 
 
 def test_counts(spark, prose, empty):
