@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 import pytest
 
@@ -48,9 +50,9 @@ def test_every_notice_within_its_errors_is_found():
 
 
 def test_spans_are_words_of_the_text():
-    n, exact, near = L.scan_text("one two released under the MIT license three", [L.Notice(*x) for x in L.NOTICES])
-    assert n == 8 and exact == [("mit", 5)]
-    assert [x[1:3] for x in near if x[0] == "mit"] == [(2, 6)]
+    n, exact, near, score = L.scan_text("one two released under the MIT license three", [L.Notice(*x) for x in L.NOTICES])
+    assert n == 8 and exact == [("mit", 5)] and score == 1
+    assert [x[1:3] for x in near if x[0] == "mit"] == [(5, 6)]
 
 
 def test_rows_and_empty_table(spark, empty):
@@ -61,3 +63,68 @@ def test_rows_and_empty_table(spark, empty):
 def test_worse_occurrences_beside_a_better_one_are_found():
     near = L.scan_text("all rihts reservd all rights reservd all rights reserved all rights resrved", [L.Notice(*x) for x in L.NOTICES])[2]
     assert [x for x in near if x[0] == "reserved"] == [("reserved", 0, 2, 2), ("reserved", 3, 5, 1), ("reserved", 6, 8, 0), ("reserved", 9, 11, 1)]
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+    return row[-1]
+
+
+def brute_near(text, notices):
+    """All runs of words within the errors of a notice; of those that overlap the one with fewest errors, then the first."""
+    w, found = words(text), []
+    for notice in notices:
+        size, taken = len(notice.text), []
+        runs = []
+        for i in range(len(w)):
+            for j in range(i, len(w)):
+                run = " ".join(w[i : j + 1]).encode()
+                if len(run) > size + notice.errors:
+                    break
+                if len(run) >= size - notice.errors and (d := distance(run, notice.text)) <= notice.errors:
+                    runs.append((d, i, j))
+        for d, i, j in sorted(runs):
+            if all(j < a or i > b for _, a, b in taken):
+                taken.append((d, i, j))
+        found += [(notice.label, i, j, d) for d, i, j in taken]
+    return sorted(found, key=lambda x: (x[1], x[0], x[2], x[3]))
+
+
+def harmed(rnd, text, errors):
+    for _ in range(errors):
+        at, kind = rnd.randrange(len(text)), rnd.randrange(4)
+        text = text[:at] + ("" if kind == 0 else rnd.choice("abcdeilnorst") + (text[at:] if kind == 1 else text[at + 1 :])) + ("" if kind else text[at + 1 :])
+    return text
+
+
+def test_notices_equal_brute_force(prose):
+    """Many harmed notices in one text, side by side and among other words: every label and every error count."""
+    rnd, notices = random.Random(6), [L.Notice(*x) for x in L.NOTICES]
+    seen = 0
+    for _ in range(60):
+        parts = []
+        for _ in range(rnd.randrange(1, 8)):
+            notice = rnd.choice(L.NOTICES)[0]
+            parts += [harmed(rnd, notice, rnd.randrange(0, len(notice) // 9 + 2)), *([prose(rnd.randrange(1, 4))] if rnd.random() < 0.5 else [])]
+        text = " ".join(parts)
+        near, wanted = L.scan_text(text, notices)[2], brute_near(text, notices)
+        assert near == wanted, text
+        seen += len(near)
+    assert seen > 150
+
+
+@pytest.mark.parametrize("text", ["mozila public license mozilla public license", "gnu general public licence gnu general public license", "all right reserved all rights reserved"])
+def test_adjacent_notices_are_both_found(text):
+    assert len(L.scan_text(text, [L.Notice(*x) for x in L.NOTICES])[2]) == 2
+
+
+def test_a_very_long_text_takes_time_in_proportion():
+    notices = [L.Notice(*x) for x in L.NOTICES]
+    began = time.time()
+    n, exact, near, _ = L.scan_text("mit license all rights resrved " * 150_000, notices)  # 4.6 MB
+    assert (n, len(exact)) == (750_000, 150_000) and len(near) == 300_000
+    assert time.time() - began < 60
