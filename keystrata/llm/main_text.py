@@ -14,8 +14,9 @@ Counting is a partial aggregate of (host, hash) before the shuffle, so a host wi
 as many small counts. By the bounds a host has at most 1 / MIN_SHARE times its mean number of subtrees
 as templates; they are broadcast while they number at most ``BROADCAST_ROWS``, else joined by a shuffle.
 
-Null and empty html gives an empty text. Pages without a host are a host of their own. Rows that repeat a
-page are pages like any other; a null page_id stays null; an empty table gives no rows.
+Null and empty html gives an empty text, and very long html is read whole. Pages without a host are a host of
+their own. Rows that repeat a page are pages like any other; a null page_id stays null; columns other than
+page_id, url and html are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -46,7 +47,9 @@ CLOSED_BY = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",
 HOLDS = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",), "tbody": ("table",), "tfoot": ("table",)}
 # Whole names in class, id or role by which an element names itself other than main text; alone or
 # with words for its place before and for its kind behind. Other compounds (header-image, has-sidebar) say nothing.
-NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|post|entry|article|user|cookie|social|email|google|js)[_-])*(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|dialog|disclaimer|disqus|footer|gdpr|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|pager|popup|promos?|promotion|recommended|related|replies|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|subscription|toolbar|widgets?)(?:[_-](?:ads?|area|banners?|bars?|block|box|buttons?|container|content|form|icons?|inner|links?|list|menu|nav|notice|popup|section|slot|top|unit|widgets?|wrap|wrapper|articles|posts|stories))*(?=$|\s)", re.I)
+NAMES = re.compile(r"(?:^|\s)(?:(?:site|page|main|global|top|bottom|left|right|primary|secondary|post|entry|article|user|cookie|social|email|google|js)[_-])*(?:ads?|adverts?|advertisements?|advertising|banner|breadcrumbs?|comments?|complementary|consent|contentinfo|cookies?|dialog|disclaimer|disqus|footer|gdpr|login|menu|modal|nav|navbar|navigation|newsletter|notices?|notification|pagination|pager|popup|promos?|promotion|recommended|related|replies|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|subscription|toolbar|widgets?)(?:[_-](?:ads?|area|banners?|bars?|block|box|buttons?|container|content|form|icons?|inner|links?|list|menu|nav|notice|popup|section|slot|top|unit|widgets?|wrap|wrapper|articles|posts|stories))*(?=$|\s)", re.I)
+# Names of a page's header, which say so outside articles only (an article's own header has its title).
+HEADERS = re.compile(r"(?:^|\s)(?:(?:site|page|main|global|top)[_-])?(?:header|masthead)(?=$|\s)", re.I)
 NAMED = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)(?:hidden(?=\s|$|=|/)|aria-hidden\s*=\s*["']?true|style\s*=\s*["'][^"']*display\s*:\s*none)""", re.I)
 TOKEN = re.compile(r"""<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/](?![a-zA-Z])[^>]*(?:>|\Z)|<!(?=[a-zA-Z])[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
@@ -65,7 +68,11 @@ class Element:
             return True
         if self.tag in ("html", "body", ARTICLE, MAIN) and not (self.tag == ARTICLE and "comment" in self.attributes.lower()):
             return False
-        return bool(self.attributes) and (bool(HIDDEN.search(self.attributes)) or any(NAMES.search("".join(x)) for kind, *x in NAMED.findall(self.attributes) if kind.lower() != "id" or self.tag not in LINES))
+        return bool(self.attributes) and (bool(HIDDEN.search(self.attributes)) or self.named(NAMES))
+
+    def named(self, names: re.Pattern) -> bool:
+        """Whether class, id or role hold one of ``names``; the id of a line is an anchor and says nothing."""
+        return any(names.search("".join(x)) for kind, *x in NAMED.findall(self.attributes) if kind.lower() != "id" or self.tag not in LINES)
 
 
 def parse(html: str) -> Element:
@@ -169,7 +176,7 @@ class Page:
             self.sizes[id(x)] = self._size(x)
 
     def shown(self, x: Element) -> bool:
-        return not (x.names_itself_other() or (not self.mains and x.tag == "header"))
+        return not (x.names_itself_other() or (not self.mains and (x.tag == "header" or bool(x.attributes) and x.named(HEADERS))))
 
     def _size(self, x: Element) -> tuple[int, int]:
         """Characters other than white space and words that ``x`` shows."""

@@ -1,3 +1,7 @@
+import random
+from collections import defaultdict
+from html.parser import HTMLParser
+
 import pytest
 
 from keystrata.llm import main_text as M
@@ -24,8 +28,6 @@ def test_article_of_a_page():
     ("<article><textarea>t</textarea>x&nbsp;y</article>", "x y"), ("<article>a</b></i>c</article>", "ac"), ("<article><script>x", ""), ("<div>" * 5000 + "deep", "deep"), ("<p>" + "word " * 20_000, ("word " * 20_000).strip()), ("<article></article>", ""),
 ])
 def test_small_pages(html, text):
-    if html and 'header-image' in html:
-        text = "" if M.NAMES.search("header-image adage") else text
     assert M.main_text(html) == text
 
 
@@ -91,7 +93,93 @@ def test_what_holds_most_of_a_page_stays():
 @pytest.mark.parametrize(("html", "text"), [
     ('<article><h2 id="search">Search</h2>a</article>', "Search a"), ('<article><section id="related-work">Work</section>a</article>', "Work a"), ('<article><h2 id="share-prices">Prices</h2>a</article>', "Prices a"),
     ('<article><p class="header-image">Image</p>a</article>', "Image a"), ('<article><div class="has-sidebar">Text</div>a</article>', "Text a"), ('<article class="post comments-open">Text</article>', "Text"),
+    ('<article><div class="article-header"><h1>Title</h1></div>a</article>', "Title a"), ('<article><header><h1>Title</h1></header>a</article>', "Title a"), ('<article><div class="share-price">1.20</div><div class="search-results">x</div></article>', "1.20 x"),
+    ('<body><div class="site-header">Shop</div><div class="entry-header"><h1>Title</h1></div><p>a</p></body>', "Title a"), ('<body><div id="masthead">Shop</div><p>a</p></body>', "a"),
     ('<article>a<div class="x share-buttons">b</div><div id="comments">c</div><section class="related-posts">d</section><div role="navigation">e</div></article>', "a"),
 ])
 def test_only_whole_names_say_that_an_element_is_not_main_text(html, text):
     assert M.main_text(html) == text
+
+
+class Plain(HTMLParser):
+    """A tree of (tag, children) of well-formed pages without attributes."""
+
+    def __init__(self, html):
+        super().__init__()
+        self.root = ("#root", [])
+        self.stack = [self.root]
+        self.feed(html)
+
+    def handle_starttag(self, tag, attrs):
+        node = (tag, [])
+        self.stack[-1][1].append(node)
+        self.stack.append(node)
+
+    def handle_endtag(self, tag):
+        self.stack.pop()
+
+    def handle_data(self, data):
+        self.stack[-1][1].append(data)
+
+
+def brute_texts(rows, min_pages, min_share):
+    """Text of each page (host, html), template counts and votes taken over whole subtrees as strings, page by page."""
+
+    def nodes(node):
+        return [node, *(y for x in node[1] if not isinstance(x, str) for y in nodes(x))]
+
+    def shown(node, gone, spare=()):
+        out = []
+        for x in node[1]:
+            if isinstance(x, str):
+                out.append(x)
+            elif x[0] not in ("nav", "footer") and not (repr(x) in gone and repr(x) not in spare):
+                out.append(f" {shown(x, gone, spare)} " if x[0] in ("p", "div", "h1", "ul", "li", "article") else shown(x, gone, spare))
+        return " ".join("".join(out).split()) if node[0] == "#top" else "".join(out)
+
+    pages = []
+    for host, html in rows:
+        top = next(x for x in nodes(Plain(html).root) if x[0] == "article")
+        units = {repr(x): x[0] in ("p", "h1") or len(shown(("#top", [x]), ()).split()) < 5 for x in nodes(top)[1:] if x[0] in ("p", "div", "h1", "ul") and shown(("#top", [x]), ())}
+        pages.append((host, ("#top", [top]), units))
+    seen, bare = defaultdict(list), defaultdict(set)
+    for host, top, units in pages:
+        for u in units:
+            seen[host, u].append(shown(top, ()))
+    again = {k for k, v in seen.items() if len(v) >= min_pages and len(set(v)) > 1}
+    met = defaultdict(set)
+    for host, top, units in pages:
+        recurring = {u for h, u in again if h == host}
+        left = shown(top, recurring)
+        if len(left) * 3 >= len(shown(top, ())):
+            bare[host].add(left)
+            todo = [top]
+            while todo:
+                for x in todo.pop()[1]:
+                    if not isinstance(x, str) and x[0] not in ("nav", "footer"):
+                        if repr(x) in recurring and x[0] in ("p", "div", "h1", "ul"):
+                            met[host, repr(x)].add(left)
+                        else:
+                            todo.append(x)
+    out = []
+    for host, top, units in pages:
+        gone = {u for u, line in units.items() if len(met[host, u]) >= max(min_pages, len(bare[host]) * (max(0.5, min_share) if line else min_share))}
+        size = lambda node: len("".join(shown(node, ()).split()))
+        spare = {repr(x) for x in nodes(top) if 3 * size(("#top", [x])) > 2 * size(top)}
+        out.append(shown(top, gone, spare))
+    return out
+
+
+def test_templates_equal_a_plain_count_of_subtrees(spark, prose):
+    rnd = random.Random(9)
+    blocks = {h: [f"<div><p>{prose(6)}</p><p>{prose(5)}</p></div>", f"<p>{prose(4)}</p>", f"<ul><li>{prose(3)}</li><li>{prose(4)}</li></ul>", f"<div>{prose(12)}</div>"] for h in ("a", "b")}
+    whole = f"<h1>{prose(3)}</h1><p>{prose(40)}</p>"
+    rows = []
+    for i in range(150):
+        host = rnd.choice("aab")
+        parts = [whole if rnd.random() < 0.2 else f"<h1>{prose(4)}</h1><p>{prose(rnd.randrange(5, 60))}</p>", *(b for b, often in zip(blocks[host], (0.7, 0.6, 0.15, 0.05), strict=True) if rnd.random() < often)]
+        rows.append((host, f"<html><body><nav>{prose(3)}</nav><article>{''.join(parts)}</article><footer>f</footer></body></html>"))
+    found = {r["page_id"]: r["text"] for r in records(M.extract(pages(spark, [(i, f"http://{h}/{i}", x) for i, (h, x) in enumerate(rows)])))}
+    wanted = brute_texts(rows, M.MIN_PAGES, M.MIN_SHARE)
+    assert [found[i] for i in range(len(rows))] == wanted
+    assert sum(len(M.main_text(x)) for _, x in rows) > sum(map(len, wanted))
