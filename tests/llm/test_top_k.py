@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 
 from keystrata.llm import top_k as K
 from tests.llm.conftest import records
@@ -37,8 +38,8 @@ def test_equals_brute_force_with_ties_and_odd_rows(spark, monkeypatch):
     vectors += [(2000, None), (2050, [None] * 12), (2100, [math.inf] + [0.0] * 11), (2150, [math.nan] * 12), (None, same), (2200, [1.0, 2.0]), (2250, [0.5, -1.0]), (2300, []), (50, vectors[50][1]), (1000, same)]
     df = table(spark, vectors)
     assert found(K.top_k(df)) == brute(vectors)
-    monkeypatch.setattr(K, "SAMPLE_ROWS", 3)
-    monkeypatch.setattr(K, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(K, "SHARD_ROWS", 60)
+    monkeypatch.setattr(K, "LEAF", 8)
     assert found(K.top_k(df)) == brute(vectors)
 
 
@@ -50,20 +51,49 @@ def test_few_and_no_rows(spark):
 
 def test_tree_prunes_and_is_exact():
     pick = np.random.default_rng(1)
-    points = pick.integers(-99, 99, (3000, 3))
+    points = pick.integers(-99, 99, (3000, 3)).astype(float)
     ids = np.arange(3000)
     tree = K.Tree(points, ids, leaf=32)
     q = points[7]
-    scores = points @ q
-    order = sorted((-s, i) for s, i in zip(scores.tolist(), ids.tolist(), strict=True) if i != 7)[:5]
+    order = sorted((-s, i) for s, i in zip((points @ q).tolist(), ids.tolist(), strict=True) if i != 7)[:5]
     visited = []
     plain = tree.points
 
     class Counting:
         def __getitem__(self, rows):
-            visited.append(len(rows))
+            visited.append(rows.stop - rows.start)
             return plain[rows]
 
     tree.points = Counting()
-    assert tree.search(q, 7, 5, -(2**63)) == [(-s, i) for s, i in order]
+    assert tree.search(q, 7, 5, None) == [(-s, i) for s, i in order]
     assert sum(visited) < 1500
+    visited.clear()
+    assert tree.search(q, 7, 5, int(-order[0][0]) + 1) == []
+    assert sum(visited) < 200
+
+
+def test_large_components_are_exact_and_too_large_scores_an_error(spark):
+    big = [(0, [2.0**21, 1.0, -3.0]), (50, [2.0**21 + 1, 5.0, 2.0**20]), (1, [2.0**21 + 2, 7.0, 1.0]), (2, [2.0**21, 2.0, 1.0])]
+    doubles = "vec_id long, embedding array<double>"
+    assert found(K.top_k(spark.createDataFrame(big, doubles))) == brute([(i, v) for i, v in big])
+    far = [(0, [2.0**30] * 4), (1, [2.0**30] * 4), (2, [1.0] * 4)]
+    with pytest.raises(Exception, match="more than 64 bits"):
+        records(K.top_k(spark.createDataFrame(far, doubles)))
+    cancelled = [(0, [2.0**60, 1.0]), (1, [0.0, 3.0]), (2, [0.0, -7.0])]
+    assert found(K.top_k(spark.createDataFrame(cancelled, doubles))) == [(0, 1, 1, 3 * 65536), (0, 2, 2, -7 * 65536)]
+    with pytest.raises(ValueError, match="over"):
+        K.top_k(spark.createDataFrame([(0, [1e307])], doubles))
+
+
+def test_shards_are_regions_of_space_and_one_vector_may_fill_several(spark, monkeypatch):
+    monkeypatch.setattr(K, "SHARD_ROWS", 100)
+    pick = np.random.default_rng(5)
+    points = pick.normal(size=(1000, 2))
+    cells = K.Cells(points, 100)
+    number = cells(points)
+    counts = np.bincount(number)
+    assert len(counts) == cells.cells and counts.max() <= 130 and counts.min() >= 50
+    boxes = [(points[number == c].min(axis=0), points[number == c].max(axis=0)) for c in range(cells.cells)]
+    assert sum(float(np.prod(b - a)) for a, b in boxes) < float(np.prod(np.ptp(points, axis=0)))
+    vectors = [(i, [0.5, 0.25]) for i in range(900)] + [(i, [0.1, float(i)]) for i in range(900, 960)]
+    assert found(K.top_k(table(spark, vectors))) == brute(vectors)
