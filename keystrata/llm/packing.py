@@ -4,10 +4,13 @@ Documents become pieces of at most ``capacity`` tokens; only longer documents ar
 behind a first piece that may be shorter. The plan is best-fit decreasing over counts: bins with equal
 room are one entry, so planning takes a number of steps bounded by the capacity and not by documents.
 Pieces then take the planned slots by joining on their rank within their length. Ranks are counted within
-``SALTS`` parts of each length and carried on from part to part, so that no length lands in one task.
+parts of each length, of about ``PART_ROWS`` pieces, and carried on from part to part, so that no length
+lands in one task. Parts go by a number drawn once, when the pieces are written, so rows that are alike are
+dealt out too.
 
-Null and empty texts are a document of the end id alone. Repeated rows are packed one by one; a null
-identifier stays null. An empty table gives no piece.
+Null and empty texts are a document of the end id alone; very long ones are cut like any that is longer than
+a sequence. Repeated rows are packed one by one; a null identifier stays null. Columns other than doc_id and
+text are not read. An empty table gives no piece.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from pyspark.sql import functions as F
 from keystrata.llm.scratch import bound_batches, write
 from keystrata.llm.words import Chunks, id_bytes, per_worker
 
-SALTS = 64
+PART_ROWS = 250_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -99,21 +102,23 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
     """``pieces`` with sequence_id and offset: the place of each in as few sequences as best fit finds.
 
-    What the driver gathers and broadcasts is the histogram by (length, part) and the plan: at most
-    ``capacity`` x ``SALTS`` counts and a few slots for each length, whatever the number of documents.
+    What the driver gathers and broadcasts is the histogram, its parts and the plan: at most ``capacity``
+    counts, one for each ``PART_ROWS`` pieces, and a few slots for each length.
     """
     spark = docs.sparkSession
-    cut = write(pieces(docs, tokenizer, capacity, end_id).withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(SALTS)).cast("int")), "pieces")
-    counts = sorted((r.length, r.part, r.n) for r in cut.groupBy("length", "part").agg(F.count("*").alias("n")).collect())
-    histogram: dict[int, int] = {}
-    before = []
-    for length, part, n in counts:
-        before.append((length, part, histogram.get(length, 0)))
-        histogram[length] = histogram.get(length, 0) + n
-    parts = spark.createDataFrame(before, "length long, part int, before long")
-    slots = spark.createDataFrame(plan(histogram, capacity), "length long, from_rank long, to_rank long, first_bin long, per_bin long, at long")
-    within = Window.partitionBy("length", "part").orderBy("doc_id", "piece", "ids_crc32")
+    cut = write(pieces(docs, tokenizer, capacity, end_id).withColumn("drawn", (F.rand(17) * 2.0**31).cast("long")), "pieces")
+    histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    dealt = spark.createDataFrame([(length, -(-n // PART_ROWS)) for length, n in histogram.items()], "of long, parts long")
+    cut = cut.join(F.broadcast(dealt), F.col("length") == F.col("of")).withColumn("part", F.col("drawn") % F.col("parts")).drop("of", "parts")
+    before, so_far = [], 0
+    for length, part, n in sorted((r.length, r.part, r.n) for r in cut.groupBy("length", "part").agg(F.count("*").alias("n")).collect()):
+        so_far = so_far if before and before[-1][0] == length else 0
+        before.append((length, part, so_far))
+        so_far += n
+    parts = spark.createDataFrame(before, "length long, part long, before long")
+    slots = spark.createDataFrame(plan(histogram, capacity), "of long, from_rank long, to_rank long, first_bin long, per_bin long, at long")
+    within = Window.partitionBy("length", "part").orderBy("drawn", "doc_id", "piece")
     ranked = cut.withColumn("nth", F.row_number().over(within) - 1).join(F.broadcast(parts), ["length", "part"]).withColumn("rank", F.col("nth") + F.col("before"))
+    joined = ranked.join(F.broadcast(slots), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
     place = F.col("rank") - F.col("from_rank")
-    joined = ranked.join(F.broadcast(slots.withColumnRenamed("length", "of")), (F.col("length") == F.col("of")) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("to_rank")))
     return joined.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_bin") + F.expr("(rank - from_rank) div per_bin")).alias("sequence_id"), (F.col("at") + place % F.col("per_bin") * F.col("length")).alias("offset"))

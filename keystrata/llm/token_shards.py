@@ -12,10 +12,12 @@ sign bit flipped. A key shares a prefix with the one before it, save at a block'
 document's start among the shard's ids (8 bytes) and its ids, little-endian and unsigned, of 2 bytes where
 the vocabulary allows it, else of 4. Readers give ids of 4 bytes.
 
-Null identifiers come first, null and empty texts have the end id alone, rows that repeat an identifier
-are all kept, one after the other in the order of their texts' hashes; an empty table gives no shard.
+A task closes a shard that reaches ``SHARD_BYTES`` and begins the next, so shards are bounded whatever the
+number of documents. Null identifiers come first, null and empty texts have the end id alone, rows that repeat an identifier
+are all kept, one after the other in the order of their texts' hashes; a very long text is one entry of a
+block of its own; columns other than doc_id and text are not read; an empty table gives no shard.
 Shards have a name of their own for each attempt of a task, and only those that a finished task reports
-count, so lost executors and repeated attempts leave no trace in the result.
+count, so lost executors and repeated attempts leave no trace in the result; what they left is deleted.
 """
 
 from __future__ import annotations
@@ -29,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyarrow import fs
 from pyspark import TaskContext
@@ -39,8 +42,8 @@ from keystrata.llm.scratch import bound_batches
 from keystrata.llm.words import Chunks, id_bytes, per_worker
 
 FOOTER = "<QQQQQQII8s"
-MAGIC = b"KSTRSST2"
-BLOCK_BYTES = 64 << 10
+MAGIC = b"KSTRSST3"
+BLOCK_BYTES, SHARD_BYTES = 64 << 10, 256 << 20
 BLOOM_BITS, BLOOM_HASHES = 10, 7
 
 
@@ -72,20 +75,21 @@ def _read_varint(data: bytes, at: int) -> tuple[int, int]:
 
 
 def _bloom_places(key: bytes, bits: int, hashes: int) -> Iterator[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
+    h = xxhash.xxh3_64_intdigest(key)
+    a, b = h & 0xFFFFFFFF, h >> 32 | 1  # the halves of one hash are independent
     return ((a + i * b) % bits for i in range(hashes))
 
 
 class ShardWriter:
-    """Writes ascending keys to a binary stream; what it holds is one block, the sparse index and the keys' hashes."""
+    """Writes ascending keys to a binary stream; what it holds is one block, the sparse index and the keys, packed."""
 
     def __init__(self, out, block_bytes: int = BLOCK_BYTES, width: int = 4):
         self.out, self.block_bytes, self.width, self.pack = out, block_bytes, width, zstandard.ZstdCompressor(level=1)
         self.block, self.entries, self.first, self.last = bytearray(), 0, b"", b""
-        self.index, self.keys, self.at, self.tokens = bytearray(), [], 0, 0
+        self.index, self.keys, self.documents, self.at, self.tokens = bytearray(), bytearray(), 0, 0, 0
 
     def add(self, key: bytes, ids: bytes) -> None:
-        if self.keys and key < self.last:
+        if self.documents and key < self.last:
             raise ValueError("keys must ascend")
         shared = 0
         if self.entries:
@@ -96,7 +100,8 @@ class ShardWriter:
         stored = np.frombuffer(ids, "<u4").astype("<u2").tobytes() if self.width == 2 else ids
         self.block += _varint(shared) + _varint(len(key) - shared) + _varint(len(stored) + 8) + key[shared:] + struct.pack("<Q", self.tokens) + stored
         self.entries, self.last, self.tokens = self.entries + 1, key, self.tokens + len(ids) // 4
-        self.keys.append(key)
+        self.keys += struct.pack("<H", len(key)) + key
+        self.documents += 1
         if len(self.block) >= self.block_bytes:
             self._flush()
 
@@ -110,14 +115,16 @@ class ShardWriter:
 
     def close(self) -> None:
         self._flush()
-        bits = max(64, len(self.keys) * BLOOM_BITS + 7 & ~7)
-        bloom = bytearray(bits // 8)
-        for key in self.keys:
-            for place in _bloom_places(key, bits, BLOOM_HASHES):
+        bits = max(64, self.documents * BLOOM_BITS + 7 & ~7)
+        bloom, at = bytearray(bits // 8), 0
+        while at < len(self.keys):
+            (size,) = struct.unpack_from("<H", self.keys, at)
+            for place in _bloom_places(bytes(self.keys[at + 2 : at + 2 + size]), bits, BLOOM_HASHES):
                 bloom[place >> 3] |= 1 << (place & 7)
+            at += 2 + size
         self.out.write(bytes(self.index))
         self.out.write(bytes(bloom))
-        self.out.write(struct.pack(FOOTER, self.at, len(self.index), self.at + len(self.index), len(bloom), len(self.keys), self.tokens, BLOOM_HASHES, self.width, MAGIC))
+        self.out.write(struct.pack(FOOTER, self.at, len(self.index), self.at + len(self.index), len(bloom), self.documents, self.tokens, BLOOM_HASHES, self.width, MAGIC))
 
 
 class ShardReader:
@@ -178,7 +185,7 @@ def open_shard(path: str) -> ShardReader:
     return ShardReader(store.open_input_file(name), store.get_file_info(name).size)
 
 
-SHARDS = "shard int, path string, first binary, last binary, n_docs long, n_tokens long"
+SHARDS = "shard int, part int, path string, first binary, last binary, n_docs long, n_tokens long"
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1) -> list[dict]:
@@ -188,28 +195,47 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 1)
     """
     bound_batches(docs.sparkSession)
 
+    kinds = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("path", pa.string()), ("first", pa.binary()), ("last", pa.binary()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = per_worker(f"ids:{tokenizer}", lambda: Chunks(tokenizer, False, id_bytes, b"".join))
-        end, out, path, first = id_bytes([end_id]), None, "", b""
+        width = 2 if max(chunks.tokenizer.get_vocab_size(with_added_tokens=True), end_id) < 65536 else 4
+        end, out, path, first, part, number = id_bytes([end_id]), None, "", b"", 0, TaskContext.get().partitionId()
+
+        def closed() -> pa.RecordBatch:
+            out.close()
+            stream.close()
+            return pa.RecordBatch.from_pylist([{"shard": number, "part": part, "path": path, "first": first, "last": out.last, "n_docs": out.documents, "n_tokens": out.tokens}], kinds)
+
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if out is not None and out.at >= SHARD_BYTES:
+                    yield closed()
+                    out, part = None, part + 1
                 if out is None:
-                    number = TaskContext.get().partitionId()
-                    path = f"{folder}/shard-{number:06d}-{uuid.uuid4().hex}.sst"
+                    path = f"{folder}/shard-{number:06d}-{part:04d}-{uuid.uuid4().hex}.sst"
                     store, name = fs.FileSystem.from_uri(path)
                     store.create_dir(name.rpartition("/")[0])
                     stream, first = store.open_output_stream(name), key_of(doc_id)
-                    out = ShardWriter(stream, width=2 if max(chunks.tokenizer.get_vocab_size(with_added_tokens=True), end_id) < 65536 else 4)
+                    out = ShardWriter(stream, BLOCK_BYTES, width)
                 out.add(key_of(doc_id), chunks(text) + end)
         if out is not None:
-            out.close()
-            stream.close()
-            yield pa.RecordBatch.from_pylist([{"shard": number, "path": path, "first": first, "last": out.last, "n_docs": len(out.keys), "n_tokens": out.tokens}], pa.schema([("shard", pa.int32()), ("path", pa.string()), ("first", pa.binary()), ("last", pa.binary()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
+            yield closed()
 
     order = [F.col("doc_id"), F.xxhash64("text")]
     dealt = docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order)
     written = dealt.mapInArrow(shards, SHARDS).collect()  # a row for each shard; sorting these in Spark would run the writers twice
-    return [row.asDict() for row in sorted(written, key=lambda row: row.shard)]
+    _drop_others(folder, {row.path for row in written})
+    return [row.asDict() for row in sorted(written, key=lambda row: (row.shard, row.part))]
+
+
+def _drop_others(folder: str, reported: set[str]) -> None:
+    """Deletes shards of attempts that no finished task has reported."""
+    store, name = fs.FileSystem.from_uri(folder)
+    kept = {x.rpartition("/")[2] for x in reported}
+    for file in store.get_file_info(fs.FileSelector(name, allow_not_found=True)):
+        if file.base_name.endswith(".sst") and file.base_name not in kept:
+            store.delete_file(file.path)
 
 
 def read_shards(spark: SparkSession, shards: list[dict], digest: bool = False) -> DataFrame:

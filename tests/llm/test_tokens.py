@@ -100,6 +100,32 @@ def test_shard_of_many_blocks(tmp_path):
         list(token_shards.open_shard(f"file://{path}"))
 
 
+def test_shards_are_bounded_and_leave_no_strays(spark, prose, monkeypatch, tmp_path):
+    monkeypatch.setattr(token_shards, "SHARD_BYTES", 2000)
+    monkeypatch.setattr(token_shards, "BLOCK_BYTES", 500)
+    texts = [(i, prose(100)) for i in range(60)]
+    stray = tmp_path / "shard-000000-0000-of-a-lost-task.sst"
+    stray.write_bytes(b"torn")
+    shards = token_shards.write_shards(frame(spark, texts).repartition(2), WORD, f"file://{tmp_path}")
+    assert len(shards) > 4 and not stray.exists() and len(list(tmp_path.glob("*.sst"))) == len(shards)
+    found = sorted(records(token_shards.read_shards(spark, shards)), key=lambda r: r["start"])
+    assert [r["doc_id"] for r in found] == list(range(60))
+    assert [r["start"] for r in found] == np.cumsum([0, *(r["n_tokens"] for r in found)])[:-1].tolist()
+    assert all(len(token_shards.lookup(shards, i)) == 1 for i in range(60)) and token_shards.lookup(shards, 61) == []
+
+
+def test_few_absent_keys_pass_the_bloom_filter(tmp_path):
+    path = tmp_path / "b.sst"
+    with path.open("wb") as out:
+        writer = token_shards.ShardWriter(out)
+        for i in range(0, 20_000, 2):
+            writer.add(token_shards.key_of(i), id_bytes([i]))
+        writer.close()
+    reader = token_shards.open_shard(f"file://{path}")
+    passed = sum(all(reader.bloom[p >> 3] >> (p & 7) & 1 for p in token_shards._bloom_places(token_shards.key_of(i), 8 * len(reader.bloom), reader.hashes)) for i in range(1, 20_000, 2))
+    assert passed < 200  # 0.8 % by theory
+
+
 def best_fit(lengths, capacity):
     """Plain best-fit decreasing, a document at a time: the number of bins."""
     rooms = []
@@ -132,7 +158,9 @@ def test_plan_equals_best_fit_decreasing(seed):
     assert len(used) == best_fit(lengths.tolist(), 100)
 
 
-def test_packing(spark, prose, empty):
+@pytest.mark.parametrize("part_rows", [250_000, 3])
+def test_packing(spark, prose, empty, monkeypatch, part_rows):
+    monkeypatch.setattr(packing, "PART_ROWS", part_rows)
     texts = [*ODD, prose(900), prose(2500), prose(1300), "same", "same", (None, "nobody"), (3, "again"), (3, "again")]
     docs = frame(spark, texts)
     found = records(packing.pack(docs, BYTE))
