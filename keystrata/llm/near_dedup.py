@@ -188,9 +188,9 @@ def _crossed(members: DataFrame, sets: DataFrame, percent: int, tables: Tables)
                 yield pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
 
     largest = members.groupBy("bucket", "component").agg(F.count("*").alias("n")).groupBy("bucket").agg(F.max(F.struct("n", "component")).getField("component").alias("largest"))
-    sided = members.join(largest, "bucket").withColumn("rest", F.col("component") != F.col("largest"))
+    sided = members.join(tables.write(largest, "largest"), "bucket").withColumn("rest", F.col("component") != F.col("largest"))
     blocks = F.ceil(F.greatest(F.sum("n_shingles") * 8 / BLOCK_BYTES, F.count("*") / BLOCK)).cast("int")
-    dealt = sided.join(sided.groupBy("bucket", "rest").agg(blocks.alias("blocks")), ["bucket", "rest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    dealt = sided.join(tables.write(sided.groupBy("bucket", "rest").agg(blocks.alias("blocks")), "counts"), ["bucket", "rest"]).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     packed = dealt.join(sets.select("id", "shingles"), "id").groupBy("bucket", "rest", "block").agg(F.collect_list(F.struct("component", "shingles")).alias("held"))
     packed = tables.write(packed.select("bucket", "rest", "block", F.col("held.component").alias("components"), F.col("held.shingles").alias("sets")), "blocks")
     names = packed.select("bucket", "rest", "block")
@@ -236,7 +236,8 @@ def _classed(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataF
         bands = [F.xxhash64(F.lit(k), F.substring("registers", 2 * rows_of_band * k + 1, 2 * rows_of_band)) for k in range(REGISTERS // rows_of_band)]
         member = classes.select("id", "n_shingles", F.explode(F.array(*bands)).alias("bucket"))
         bucket = member.groupBy("bucket").agg(F.count("*").alias("members"), F.min("id").alias("pivot")).where("members > 1")
-        member = tables.write(member.join(bucket, "bucket"), "members")
+        # Sums by bucket are written before they are joined, so that a join can split a bucket with very many members.
+        member = tables.write(member.join(tables.write(bucket, "buckets"), "bucket"), "members")
 
         known = tables.write(classes.join(member.select("id").distinct(), "id", "left_semi"), "known")
         wanted = few(known.select("id", F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")))
@@ -253,6 +254,7 @@ def _classed(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataF
         small = member.where(F.col("members") <= CROWD)
 
         pivot = crowded.groupBy("bucket").agg(F.min(F.struct("own", "id", "n_shingles")).alias("p")).select("bucket", F.col("p.id").alias("pivot"), F.col("p.own").alias("p_own"), F.col("p.n_shingles").alias("p_n"))
+        pivot = tables.write(pivot, "pivots")
         # What is one's own is in the union and not in the intersection.
         hope = F.least(F.col("n_shingles") - F.col("own"), F.col("p_n") - F.col("p_own")) * 100 >= F.greatest(F.col("n_shingles") + F.col("p_own"), F.col("p_n") + F.col("own")) * percent
         star = small.select("id", "pivot").unionAll(crowded.join(pivot, "bucket").where(hope).select("id", "pivot")).where("id <> pivot")
@@ -262,7 +264,7 @@ def _classed(docs: DataFrame, percent: int, size: int) -> tuple[DataFrame, DataF
         part = small.select("bucket", "id", "n_shingles", "members").unionAll(crowded.select("bucket", "id", "n_shingles", "members"))
         part = tables.write(part.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")), "parts")
         mixed = part.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("bucket")
-        open_ = tables.write(part.join(mixed, "bucket", "left_semi"), "open")
+        open_ = tables.write(part.join(tables.write(mixed, "mixed"), "bucket", "left_semi"), "open")
         rest = open_.where(F.col("members") <= CROWD).select("bucket", "id", "n_shingles", "component")
         x, y = rest.toDF("bucket", "a", "na", "ca"), rest.toDF("of", "b", "nb", "cb")
         near = (F.col("na") * 100 >= F.col("nb") * percent) & (F.col("nb") * 100 >= F.col("na") * percent)
