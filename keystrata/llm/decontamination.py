@@ -1,36 +1,44 @@
 """Benchmark decontamination by winnowing, with DataFrame functions alone.
 
-Of the hashes of ``GRAM``-word grams in a text, winnowing keeps the least one of every ``SPAN`` neighbours
-(the rightmost of equals). Two texts that share ``GRAM + SPAN - 1`` words, the length of a window, keep the
-same gram at the same place of it, so joining the kept grams of documents with the one kept gram of each
-benchmark window finds every occurrence; the hit is then extended to the whole window and compared word
-by word. Items that are shorter than a window are one window themselves; grams of exactly their length
-(there are at most nine lengths) find those.
-
-The benchmark's windows are broadcast while they number at most ``BROADCAST_WINDOWS``, otherwise they are
-joined by a shuffle. Equal windows of many items are one row with the list of items, and what a document
-hits is gathered by document, never by item or window.
-
-Null texts, and texts without words, have no words, no hits and no items. Rows of ``documents`` that repeat
-an identifier are told apart by their texts and each gets its own result; a null identifier is a value like
-any other. Items without words never occur; rows that repeat an item count once.
+Each word is hashed once, and ``GRAM`` neighbouring hashes become the hash of a gram by doubling (of two,
+of four, of five words). Winnowing keeps the least gram of every ``SPAN`` neighbours, the rightmost of equals;
+a gram's place stands in the low bits of its number, so the least number is that gram. Two texts that share
+``GRAM + SPAN - 1`` words, the length of a window, keep the same gram at the same place of it, so joining the
+kept grams of documents with the one kept gram of each benchmark window finds every occurrence. Only then are
+words cut out around a hit, which is extended to the whole window and compared word by word. Items that are
+shorter than a window are one window themselves; grams of exactly their length (there are at most nine lengths)
+find those.
+
+The grams of the benchmark, two numbers each, are broadcast while they number at most ``BROADCAST_GRAMS``,
+otherwise they are joined by a shuffle. Windows and items stay rows: a window of very many items is no list.
+What a document hits is gathered by document, never by item or window.
+
+Null texts, and texts without words, have no words, no hits and no items; very long texts are read whole.
+Rows of ``documents`` that repeat an identifier are told apart by their texts and each gets its own result; a
+null identifier is a value like any other. Items without words never occur; rows that repeat an item count
+once. Columns other than the identifiers and texts are not read; an empty table gives no rows, and an empty
+benchmark no hits.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.scratch import few, write
+from keystrata.llm.scratch import Tables, few, write
 
 WINDOW, GRAM = 10, 5
 SPAN = WINDOW - GRAM + 1
-BROADCAST_WINDOWS = 400_000
+BROADCAST_GRAMS = 1_000_000
+PLACE = (1 << 30) - 1
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: What stands between words once A-Z are lower case.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: The same in texts of either case.
+BETWEEN_ANY = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def lowered(text: Column) -> Column:
@@ -44,62 +52,58 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(lowered(text), BETWEEN), lambda word: word != "")
 
 
-def grams(words: Column, n: int) -> Column:
-    """Hashes of all n-word grams, in order."""
-    return F.when(F.size(words) >= n, F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*[F.get(words, i + k) for k in range(n)]))).otherwise(F.array().cast("array<bigint>"))
+def count_words(text: Column) -> Column:
+    """How many words a text has; case makes no difference."""
+    return F.size(F.array_remove(F.split(F.coalesce(text, F.lit("")), BETWEEN_ANY), "")).cast("long")
 
 
-def kept(hashes: Column) -> Column:
-    """Places (from 0, ascending) of the least hash of each SPAN neighbours, the rightmost of equals."""
+def folded(table: DataFrame, column: str, width: int, combine: Callable[[Column, Column], Column]) -> DataFrame:
+    """``table`` with ``column`` (an array) replaced by the combination of each ``width`` neighbours, in order.
 
-    def least(i: Column) -> Column:
-        best = F.least(*[F.get(hashes, i + k) for k in range(SPAN)])
-        place = i
-        for k in range(1, SPAN):
-            place = F.when(F.get(hashes, i + k) == best, i + k).otherwise(place)
-        return place
+    Runs of 2, 4, 8 ... neighbours are combined first, each in a column of its own: no element is combined twice.
+    """
+    runs, size = {1: column}, 1
+
+    def joined(left: str, right: str, shift: int, n: int) -> Column:
+        count = F.greatest(F.size(column) - (n - 1), F.lit(0))
+        return F.zip_with(F.slice(left, 1, count), F.slice(right, shift + 1, count), combine)
+
+    while size * 2 <= width:
+        runs[size * 2] = f"_run_{size * 2}"
+        table = table.withColumn(runs[size * 2], joined(runs[size], runs[size], size, size * 2))
+        size *= 2
+    whole, done = runs[size], size
+    while done < width:
+        size = max(n for n in runs if done + n <= width)
+        table = table.withColumn(f"_fold_{done + size}", joined(whole, runs[size], done, done + size))
+        whole, done = f"_fold_{done + size}", done + size
+    return table.withColumn("_whole", F.col(whole)).drop(column, *[x for x in table.columns if x.startswith(("_run_", "_fold_"))]).withColumnRenamed("_whole", column)
 
-    return F.when(F.size(hashes) >= SPAN, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(hashes) - SPAN), least))).otherwise(F.array().cast("array<int>"))
+
+def placed(table: DataFrame, n: int) -> DataFrame:
+    """``table`` (words, ...) with ``spots``: the numbers of the kept grams, or of all grams of ``n`` words for short windows.
+
+    The high bits are the gram's hash, the low ones count down from PLACE: the later of two equal grams is less.
+    """
+    table = table.withColumn("spots", F.transform("words", lambda word: F.xxhash64(word)))
+    table = folded(table, "spots", GRAM if n == WINDOW else n, lambda a, b: F.xxhash64(a, b))
+    table = table.withColumn("spots", F.transform("spots", lambda x, i: x.bitwiseAND(F.lit(~PLACE)).bitwiseOR(F.lit(PLACE) - i)))
+    if n < WINDOW:
+        return table
+    return folded(table, "spots", SPAN, lambda a, b: F.least(a, b)).withColumn("spots", F.array_distinct("spots"))
+
+
+def split_spot(spot: Column) -> tuple[Column, Column]:
+    """The hash of a gram and its place (word, from 0) from its number."""
+    return spot.bitwiseAND(F.lit(~PLACE)), F.lit(PLACE) - spot.bitwiseAND(F.lit(PLACE))
 
 
 def windows(items: DataFrame) -> DataFrame:
-    """The distinct windows of ``items`` (item_id, text): words, their number n, gram hash, its place, and the items."""
+    """Windows of ``items`` (item_id, text) by item: item, window (its words), their number n."""
     worded = items.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
     starts = F.sequence(F.lit(0), F.greatest(F.size("words") - WINDOW, F.lit(0)))
     each = worded.select("item", F.explode(F.transform(starts, lambda i: F.slice("words", i + 1, F.lit(WINDOW)))).alias("window"))
-    distinct = each.groupBy("window").agg(F.array_sort(F.collect_set("item")).alias("items"))
-    distinct = distinct.select("window", "items", F.size("window").alias("n"), grams(F.col("window"), GRAM).alias("hashes"))
-    distinct = distinct.withColumn("place", F.when(F.col("n") == WINDOW, F.element_at(kept(F.col("hashes")), 1)).otherwise(0))
-    short = reduce(lambda other, n: F.when(F.col("n") == n, F.xxhash64(*[F.get("window", F.lit(k)) for k in range(n)])).otherwise(other), range(1, WINDOW), F.lit(None).cast("bigint"))
-    return distinct.select(F.col("window"), "items", "n", "place", F.when(F.col("n") == WINDOW, F.get("hashes", F.col("place"))).otherwise(short).alias("gram"))
-
-
-def occurrences(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Where windows occur in ``docs`` (doc_id, text): doc_id, text_hash, at (word, from 0), n, items."""
-    table = write(windows(benchmark), "windows")
-    lengths = [r.n for r in table.groupBy("n").agg(F.count("*").alias("rows")).collect()]
-    table = F.broadcast(table) if table.count() <= BROADCAST_WINDOWS else table
-    worded = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    found = []
-    if WINDOW in lengths:
-        reach = WINDOW - GRAM
-        hashed = worded.where(F.size("words") >= WINDOW).withColumn("hashes", grams(F.col("words"), GRAM))
-        spots = hashed.select("doc_id", "text_hash", F.explode(F.transform(kept(F.col("hashes")), lambda p: F.struct(
-            p.alias("p"), F.get("hashes", p).alias("gram"), F.slice("words", F.greatest(p - reach, F.lit(0)) + 1, F.lit(2 * reach + GRAM)).alias("near")))).alias("s"))
-        spots = spots.select("doc_id", "text_hash", "s.p", "s.gram", "s.near")
-        hits = spots.join(table.where(F.col("n") == WINDOW), "gram")
-        begin = F.col("p") - F.col("place")
-        same = F.slice("near", begin - F.greatest(F.col("p") - reach, F.lit(0)) + 1, F.lit(WINDOW)) == F.col("window")
-        found.append(hits.where((begin >= 0) & same).select("doc_id", "text_hash", begin.alias("at"), "n", "items"))
-    for n in sorted(set(lengths) - {WINDOW}):
-        starts = F.sequence(F.lit(0), F.size("words") - n)
-        spots = worded.where(F.size("words") >= n).select("doc_id", "text_hash", F.posexplode(F.transform(starts, lambda i: F.slice("words", i + 1, F.lit(n)))).alias("at", "near"))  # noqa: B023
-        spots = spots.withColumn("gram", F.xxhash64(*[F.get("near", F.lit(k)) for k in range(n)]))
-        hits = spots.join(table.where(F.col("n") == n), "gram").where(F.col("near") == F.col("window"))
-        found.append(hits.select("doc_id", "text_hash", "at", "n", "items"))
-    if not found:
-        return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("text_hash"), F.lit(0).alias("at"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("items"))
-    return reduce(DataFrame.unionAll, found)
+    return each.distinct().withColumn("n", F.size("window"))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -107,16 +111,49 @@ def hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     Covered words and items are made distinct before they are counted, in partial aggregates by document.
     """
-    found = write(occurrences(docs, benchmark), "hits")
     key = ["doc_id", "text_hash"]
-    covered = found.select(*key, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("word")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
-    named = found.select(*key, F.explode("items").alias("item")).distinct().groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
-    return covered.join(named, [F.equal_null(covered[k], named[k]) for k in key]).select(covered["doc_id"], covered["text_hash"], "n_hit", "items")
+    same = lambda a, b: [F.equal_null(a[k], b[k]) for k in key]
+    with Tables(docs.sparkSession) as tables:
+        members = tables.write(windows(benchmark), "windows")
+        lengths = sorted(r.n for r in members.select("n").distinct().collect())
+        if not lengths:
+            return docs.limit(0).select("doc_id", F.lit(0).cast("long").alias("text_hash"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"))
+        distinct = members.select(F.col("window").alias("words"), "n").distinct()
+        known = reduce(DataFrame.unionAll, (placed(distinct.where(F.col("n") == n), n).select("words", "n", F.get("spots", F.lit(0)).alias("spot")) for n in lengths))
+        gram, place = split_spot(F.col("spot"))
+        known = tables.write(known.select(F.col("words").alias("window"), "n", gram.alias("gram"), place.alias("place")), "grams")
+        sought = few(tables.write(known.select(F.col("n").alias("of_n"), F.col("gram").alias("of_gram")).distinct(), "sought"), BROADCAST_GRAMS)
+
+        worded = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
+        found = []
+        for n in lengths:
+            # Not explode(): the filter that Spark infers for it would compute all of this a second time, column within column.
+            spots = placed(worded, n).select(*key, F.explode_outer("spots").alias("spot")).where("spot IS NOT NULL")
+            spots = spots.select(*key, F.lit(n).alias("n"), gram.alias("gram"), place.alias("p"))
+            found.append(spots.join(sought.where(F.col("of_n") == n), F.col("gram") == F.col("of_gram"), "left_semi"))
+        found = tables.write(reduce(DataFrame.unionAll, found), "spots")
+
+        hit = few(tables.write(found.select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")).distinct(), "hit"))
+        text = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+        text = text.join(hit, F.equal_null("doc_id", "of_doc") & (F.col("text_hash") == F.col("of_text")), "left_semi").groupBy(*key).agg(F.first("text").alias("text"))
+        text = text.select(*key, words_of(F.col("text")).alias("words"))
+        places = found.groupBy(*key).agg(F.collect_list(F.struct("n", "gram", "p")).alias("places"))
+        reach = WINDOW - GRAM
+        first = lambda p: F.greatest(p - reach, F.lit(0))
+        near = text.join(places, same(text, places)).select(text["doc_id"], text["text_hash"], F.explode(F.transform("places", lambda s: F.struct(
+            s["n"].alias("n"), s["gram"].alias("gram"), s["p"].alias("p"), F.slice("words", first(s["p"]) + 1, F.lit(2 * reach + GRAM)).alias("near")))).alias("s")).select(*key, "s.*")
+        at = F.col("p") - F.col("place")
+        near = near.join(known, ["n", "gram"]).where((at >= 0) & (F.slice("near", at - first(F.col("p")) + 1, F.col("n")) == F.col("window")))
+        found = tables.write(near.select(*key, at.alias("at"), "n", "window"), "hits")
+
+        covered = found.select(*key, F.explode(F.sequence(F.col("at"), F.col("at") + F.col("n") - 1)).alias("word")).distinct().groupBy(*key).agg(F.count("*").alias("n_hit"))
+        named = found.select(*key, "window").distinct().join(members, "window").select(*key, "item").distinct().groupBy(*key).agg(F.array_sort(F.collect_set("item")).alias("items"))
+        return write(covered.join(named, same(covered, named)).select(covered["doc_id"], covered["text_hash"], "n_hit", "items"), "hits")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """For each row of ``docs``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), F.size(words_of(F.col("text"))).cast("long").alias("n_words"))
+    counted = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), count_words(F.col("text")).alias("n_words"))
     found = hits(docs, benchmark).select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text"), "n_hit", "items")
     joined = counted.join(found, F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text")), "left")
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
@@ -126,5 +163,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no window of ``benchmark`` occurs."""
-    dirty = write(hits(docs, benchmark).select(F.col("doc_id").alias("of_doc"), F.col("text_hash").alias("of_text")), "dirty")
-    return docs.join(few(dirty), docs["doc_id"].eqNullSafe(dirty["of_doc"]) & (F.xxhash64(docs["text"]) == dirty["of_text"]), "left_anti")
+    dirty = write(hits(docs, benchmark).select(F.col("doc_id").alias("_of_doc"), F.col("text_hash").alias("_of_text")), "dirty")
+    return docs.join(few(dirty), docs["doc_id"].eqNullSafe(F.col("_of_doc")) & (F.xxhash64(docs["text"]) == F.col("_of_text")), "left_anti")

@@ -42,9 +42,9 @@ def check(spark, texts, items):
     return found
 
 
-@pytest.mark.parametrize("bound", [400_000, 0])
+@pytest.mark.parametrize("bound", [1_000_000, 0])
 def test_equals_brute_force(spark, prose, monkeypatch, bound):
-    monkeypatch.setattr(D, "BROADCAST_WINDOWS", bound)
+    monkeypatch.setattr(D, "BROADCAST_GRAMS", bound)
     a, b, c = prose(40), prose(10), prose(11)
     items = [(1, a), (2, b), (3, c), (4, b), (4, b), (5, "Short; ITEM here"), (6, "é"), (7, None), (8, "!!"), (10, a), (12, "x x x x x x x x x x x x")]
     texts = [a, f"{prose(5)} {b.upper().replace('É', 'é')}, {prose(3)}", " ".join(a.split()[3:14]) + "." + c, " ".join(a.split()[3:12]), "short item HERE short item", None, "", "?!", "x " * 40, prose(300), f"{c} {c} {b}", "É é", "a" * 3000]
@@ -74,8 +74,17 @@ def test_winnowing_guarantee(spark, prose):
     """Every window of ten words keeps a gram, the same whatever stands around it."""
     text = prose(60)
     inner = " ".join(text.split()[20:30])
-    place = lambda t: spark.range(1).select(D.kept(D.grams(D.words_of(D.F.lit(t)), D.GRAM)).alias("k")).first().k
-    assert 20 + place(inner)[0] in place(text)
+    spots = lambda t: {(v & ~D.PLACE): D.PLACE - (v & D.PLACE) for v in D.placed(spark.range(1).select(D.words_of(D.F.lit(t)).alias("words")), D.WINDOW).first().spots}
+    ((gram, place),) = spots(inner).items()
+    assert spots(text)[gram] == 20 + place
+
+
+@pytest.mark.parametrize("width", [1, 2, 3, 5, 6, 9])
+def test_folding_equals_a_plain_combination(spark, width):
+    rows = spark.createDataFrame([(list(range(n)),) for n in (0, 1, 4, 5, 6, 12)], "x array<long>").withColumn("x", D.F.transform("x", lambda v: D.F.chr(v + 97)))
+    found = [r["x"] for r in records(D.folded(rows, "x", width, lambda a, b: D.F.concat(a, b)))]
+    whole = "abcdefghijkl"
+    assert found == [[whole[i : i + width] for i in range(n - width + 1)] for n in (0, 1, 4, 5, 6, 12)]
 
 
 def test_main_path_has_no_python(spark, prose):
