@@ -1,7 +1,7 @@
 """Reads of a versioned log as plans over DataFrames.
 
 Every function takes a log (``keystrata.schema.LOG``) and returns a DataFrame; nothing runs before the
-caller asks. Predicates on the key are put below the choice of the newest version, so they reach the scan;
+caller asks, but for ``multi_scan``, which looks at the ranges to plan. Predicates on the key are put below the choice of the newest version, so they reach the scan;
 tombstones are filtered above it, for below they would bring older versions back.
 """
 
@@ -14,6 +14,8 @@ from keystrata.functions.keys import in_range, is_tombstone, live_value
 
 #: Ranges that each row is compared with, one by one; ranges that are broadcast, cut at boundaries; and how many of these.
 PLAIN_RANGES, BROADCAST_RANGES, BOUNDARIES = 32, 10_000, 96
+#: Bytes up to which a table of keys is broadcast, by the size that Spark's statistics give it.
+BROADCAST_BYTES = 32 << 20
 
 
 def latest(log: DataFrame) -> DataFrame:
@@ -46,27 +48,51 @@ def multi_get(log: DataFrame, keys: DataFrame) -> DataFrame:
     The log's versions are first reduced to the keys asked for, so what is shuffled follows the question.
     """
     wanted = keys.select("key").distinct()
-    found = latest(log.join(wanted, "key", "left_semi")).select("key", live_value().alias("value"))
+    asked = F.broadcast(wanted) if small(wanted) else wanted
+    found = latest(log.join(asked, "key", "left_semi")).select("key", live_value().alias("value"))
     return wanted.join(found, "key", "left")
 
 
+def small(table: DataFrame, most: int = BROADCAST_BYTES) -> bool:
+    """Whether Spark's statistics, taken without running anything, put a table at ``most`` bytes or fewer."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= most
+
+
+def hull(ranges: DataFrame) -> tuple[str | None, str | None]:
+    """The least lo and the greatest hi of the ranges that hold something; None for none."""
+    return tuple(ranges.where("lo < hi").agg(F.min("lo"), F.max("hi")).first())
+
+
 def multi_scan(log: DataFrame, ranges: DataFrame) -> DataFrame:
-    """lo, hi, key and value for every key of each range lo <= key < hi of ``ranges``; tombstones have null."""
-    newest = latest(log).select("key", live_value().alias("value"))
+    """lo, hi, key and value for every key of each range lo <= key < hi of ``ranges``; tombstones have null.
+
+    Rows outside all ranges are dropped before the newest versions are chosen: by a filter that reaches the
+    scan for few ranges, and for more by the span of all ranges and a join with the ranges cut at boundaries.
+    """
     asked = ranges.select("lo", "hi").where("lo < hi").distinct()
     inside = (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))
-    n = asked.count()
+    n, low, high = asked.agg(F.count("*"), F.min("lo"), F.max("hi")).first()
+    value = lambda rows: latest(rows).select("key", live_value().alias("value"))
+    log = log.where(in_range(low, high)) if n else log.limit(0)
     if n <= PLAIN_RANGES:
-        return newest.join(F.broadcast(asked), inside).select("lo", "hi", "key", "value")
+        wanted = F.lit(False)
+        for r in asked.collect():
+            wanted = wanted | in_range(r.lo, r.hi)
+        return value(log.where(wanted)).join(F.broadcast(asked), inside).select("lo", "hi", "key", "value")
     # Many ranges: both sides are cut at the same boundaries, which makes the join one of equal numbers. Ranges that
     # are few enough to broadcast are cut evenly themselves; else the rows are, for these are then shuffled by part.
-    points = asked.select(F.col("lo").alias("key")) if n <= BROADCAST_RANGES else newest.select("key")
-    rows = points.orderBy(F.xxhash64("key")).limit(20 * BOUNDARIES).orderBy("key").collect()
-    bounds = F.array(*[F.lit(rows[i * len(rows) // BOUNDARIES].key) for i in range(BOUNDARIES)]) if rows else F.array().cast("array<string>")
+    few = n <= BROADCAST_RANGES
+    boundaries = BOUNDARIES if few else max(BOUNDARIES, min(1024, 3 * int(log.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    points = asked.select(F.col("lo").alias("key")) if few else log.select("key")
+    rows = points.orderBy(F.xxhash64("key")).limit(20 * boundaries).orderBy("key").collect()
+    bounds = F.array(*[F.lit(rows[i * len(rows) // boundaries].key) for i in range(boundaries)]) if rows else F.array().cast("array<string>")
     part = lambda key: F.size(F.filter(bounds, lambda b: b <= key))
     cut = asked.withColumn("part", F.explode(F.sequence(part(F.col("lo")), part(F.col("hi")))))
-    cut = F.broadcast(cut) if n <= BROADCAST_RANGES else cut
-    return newest.withColumn("part", part(F.col("key"))).join(cut, "part").where(inside).select("lo", "hi", "key", "value")
+    if few:
+        cut = F.broadcast(cut)
+        held = (F.col("_part") == F.col("_of")) & (F.col("key") >= F.col("_lo")) & (F.col("key") < F.col("_hi"))
+        log = log.withColumn("_part", part(F.col("key"))).join(F.broadcast(cut.toDF("_lo", "_hi", "_of")), held, "left_semi").drop("_part")
+    return value(log).withColumn("part", part(F.col("key"))).join(cut, "part").where(inside).select("lo", "hi", "key", "value")
 
 
 def count_ranges(log: DataFrame, ranges: DataFrame) -> DataFrame:
@@ -90,6 +116,27 @@ def as_of(log: DataFrame, epoch: int) -> DataFrame:
     return log.where(F.col("epoch") <= epoch)
 
 
+def read_at(log: DataFrame, reads: DataFrame) -> DataFrame:
+    """``reads`` (key, epoch, seq, ...) with value: of the newest version at or before each, null for deleted and missing keys.
+
+    Within an epoch versions and reads are taken in order; what an epoch begins with is the newest version of
+    the key's earlier epochs, one row for each. So a key with very many rows is split by its epochs.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("key", "epoch").orderBy("seq", F.col("_read").isNotNull()).rowsBetween(Window.unboundedPreceding, -1)
+    asked = reads.select("key", "epoch", "seq", F.struct(*[reads[c] for c in reads.columns]).alias("_read"))
+    rows = log.select("key", "epoch", "seq", F.struct("vtype", "data").alias("m")).unionByName(asked, allowMissingColumns=True)
+    here = rows.withColumn("_last", F.last("m", ignorenulls=True).over(order)).where("_read IS NOT NULL")
+    ends = log.groupBy("key", "epoch").agg(F.max_by(F.struct("vtype", "data"), F.col("seq")).alias("m"))
+    ends = ends.unionByName(asked.select("key", "epoch").distinct(), allowMissingColumns=True).groupBy("key", "epoch").agg(F.first("m", ignorenulls=True).alias("m"))
+    earlier = Window.partitionBy("key").orderBy("epoch").rowsBetween(Window.unboundedPreceding, -1)
+    begins = ends.withColumn("_first", F.last("m", ignorenulls=True).over(earlier)).select(F.col("key").alias("_key"), F.col("epoch").alias("_epoch"), "_first")
+    joined = here.join(begins, (F.col("key") == F.col("_key")) & (F.col("epoch") == F.col("_epoch")), "left")
+    m = F.coalesce("_last", "_first")
+    return joined.select("_read.*", F.when(m["vtype"] == 0, m["data"]).alias("value"))
+
+
 def flushed(log: DataFrame) -> DataFrame:
     """The newest version of each key within each epoch, as flushing one sorted map for each would write."""
     newest = F.max_by(F.struct("seq", "vtype", "data", "ts"), F.col("seq"))
