@@ -8,6 +8,7 @@ until ``vacuum``, so open readers keep their snapshot.
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Callable, Iterable, Sequence
@@ -31,7 +32,8 @@ class Store:
         self.root = checked_location(storage_dir)
         self.files = Files(spark, self.root)
         self.manifests = Manifests(self.files)
-        self._open, self._last_compaction = True, time.monotonic()
+        self._open, self._last_compaction, self._synced = True, time.monotonic(), 0.0
+        self._stopped, self._maintainer = threading.Event(), None
         self.queries: list = []
 
     @classmethod
@@ -40,9 +42,12 @@ class Store:
         return cls(spark, storage_dir, StoreConfig(**{"fsync_interval_ms": 1000} | settings))
 
     def close(self) -> None:
-        """Stops the streaming queries that feed the store; commits are durable already. May be called again."""
+        """Stops the streaming queries that feed the store and its maintenance; commits are durable already. May be called again."""
         for query in self.queries:
             query.stop()
+        self._stopped.set()
+        if self._maintainer:
+            self._maintainer.join()
         self._open = False
 
     def __enter__(self) -> Store:
@@ -72,6 +77,12 @@ class Store:
         if rows := [(k, None, TOMBSTONE) for k in keys]:
             self._commit_rows(rows)
 
+    def delete_range(self, start: str | None, end: str | None) -> bool:
+        """Deletes every key of start <= key < end that is there, as one commit. False if there is none."""
+        gone = self.latest(start, end).where(~is_tombstone()).select("key", F.lit(None).cast("string").alias("value"))
+        before = self.manifests.current().version
+        return bool(gone.take(1)) and self.write(gone, order_by=F.lit(0), deletes=F.lit(True)) and self.manifests.current().version > before
+
     def _commit_rows(self, rows: list[tuple]) -> None:
         for key, value, vtype in rows:
             if not isinstance(key, str) or (vtype == REGULAR and not isinstance(value, str)):
@@ -107,7 +118,7 @@ class Store:
             run = self._write_run(rows.withColumn("epoch", F.lit(base.next_epoch).cast("long")), "commit", spread=False)
             batches = base.batches | ({batch[0]: batch[1]} if batch else {})
             try:
-                self.manifests.publish(base.after(next_epoch=base.next_epoch + 1, runs=(*base.runs, *([run] if run.n_entries else [])), batches=batches))
+                self._publish(base.after(next_epoch=base.next_epoch + 1, runs=(*base.runs, *([run] if run.n_entries else [])), batches=batches))
             except Conflict:
                 self.files.delete(run.path)
                 continue
@@ -115,6 +126,16 @@ class Store:
             return True
         raise RuntimeError("too many writers at once")
 
+    def _publish(self, manifest: Manifest) -> None:
+        """Publishes a version, forced to disk once ``fsync_interval_ms`` has passed since that was last done.
+
+        The files of runs are as durable as the file system makes a file that was closed.
+        """
+        sync = (time.monotonic() - self._synced) * 1000 >= self.config.fsync_interval_ms
+        self.manifests.publish(manifest, sync)
+        if sync:
+            self._synced = time.monotonic()
+
     def _write_run(self, rows: DataFrame, kind: str, spread: bool, unique: bool = False) -> Run:
         """Writes rows as a run sorted by key; its statistics are gathered while it is written."""
         path, seen = f"runs/{kind}-{uuid.uuid4().hex}", Observation()
@@ -166,15 +187,23 @@ class Store:
 
     def multi_get(self, keys: DataFrame | Iterable[str]) -> DataFrame:
         """key and value of every distinct key asked for."""
+        few = None
         if not isinstance(keys, DataFrame):
+            keys = list(keys)
+            few = sum(map(len, keys)) <= versions.BROADCAST_BYTES
             keys = self.spark.createDataFrame([(k,) for k in keys], "key string")
         runs = self.manifest().runs
         if len(runs) == 1 and runs[0].unique:
-            return keys.select("key").distinct().join(self._read(runs).select("key", live_value().alias("value")), "key", "left")
+            rows, keys = self._read(runs).select("key", live_value().alias("value")), keys.select("key").distinct()
+            # Few keys go to where the run is: it is not shuffled, and its other rows end at the scan.
+            hits = rows.join(F.broadcast(keys), "key") if few or few is None and versions.small(keys) else rows
+            return keys.join(hits, "key", "left")
         return versions.multi_get(self.log(), keys)
 
     def multi_scan(self, ranges: DataFrame) -> DataFrame:
-        return versions.multi_scan(self.log(), ranges)
+        """lo, hi, key and value of every key of each range; runs beyond all ranges are not opened."""
+        low, high = versions.hull(ranges)
+        return versions.multi_scan(self.log(low, high), ranges) if low is not None else versions.multi_scan(self._read([]), ranges)
 
     def has(self, key: str) -> bool:
         """Whether any version of a key is stored, tombstones included."""
@@ -209,7 +238,7 @@ class Store:
             if not names <= {r.path for r in now.runs}:
                 break
             try:
-                self.manifests.publish(now.after(runs=(*([run] if run.n_entries else []), *[r for r in now.runs if r.path not in names])))
+                self._publish(now.after(runs=(*([run] if run.n_entries else []), *[r for r in now.runs if r.path not in names])))
                 return True
             except Conflict:
                 continue
@@ -217,10 +246,23 @@ class Store:
         return False
 
     def _maybe_maintain(self) -> None:
+        """Flushes once the runs of single commits are too large or too many together."""
         commits = [r for r in self.manifests.current().runs if r.kind == "commit"]
-        if sum(r.n_bytes for r in commits) >= self.config.memtable_threshold:
+        if sum(r.n_bytes for r in commits) >= self.config.memtable_threshold or len(commits) >= self.config.max_commit_runs:
             self.flush()
 
+    def start_maintenance(self) -> None:
+        """Calls ``maintain`` at every compaction interval, in a thread of its own, until the store is closed."""
+        self._check_open()
+
+        def run() -> None:
+            while not self._stopped.wait(self.config.compaction_interval_s):
+                self.maintain()
+
+        if self._maintainer is None and self.config.compaction_enabled:
+            self._maintainer = threading.Thread(target=run, name="keystrata-maintenance", daemon=True)
+            self._maintainer.start()
+
     def maintain(self, force: bool = False) -> bool:
         """Compacts if it is enabled, due by its interval (or ``force``), and there are enough runs."""
         due = force or time.monotonic() - self._last_compaction >= self.config.compaction_interval_s
@@ -228,19 +270,22 @@ class Store:
             return self.compact()
         return False
 
-    def vacuum(self, keep_versions: int = 1, min_age_s: float = 0.0) -> int:
+    def vacuum(self, keep_versions: int = 1, min_age_s: float = 6 * 3600.0) -> int:
         """Deletes old manifest versions and the runs that none of the rest names; returns how many runs.
 
-        Runs younger than ``min_age_s`` are spared, for their commit may be under way.
+        Runs younger than ``min_age_s`` are spared, for their commit may be under way: the time must be longer
+        than any commit takes. A reader of an older version, or a ``tail`` behind it, fails from then on.
         """
         kept = self.manifests.forget(max(1, keep_versions))
         used = {r.path for v in kept for r in self._runs_of(v)}
         gone = 0
         for name in self.files.names("runs"):
-            status = self.files.store.getFileStatus(self.files._path(f"runs/{name}"))
-            if f"runs/{name}" not in used and time.time() - status.getModificationTime() / 1000 >= min_age_s:
+            if f"runs/{name}" not in used and self.files.age_s(f"runs/{name}") >= min_age_s:
                 self.files.delete(f"runs/{name}")
                 gone += 1
+        for name in self.files.names("manifest"):
+            if name.startswith("unfinished-") and self.files.age_s(f"manifest/{name}") >= min_age_s:
+                self.files.delete(f"manifest/{name}")
         return gone
 
     def _runs_of(self, version: int) -> tuple[Run, ...]:

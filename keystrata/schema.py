@@ -25,33 +25,38 @@ MIB = 1 << 20
 
 @dataclass(frozen=True)
 class StoreConfig:
-    """Settings of a store; values out of range raise ValueError."""
+    """Settings of a store; values out of range raise ValueError.
+
+    memtable_threshold: bytes, and max_commit_runs: number, of commits' runs at which they are flushed into one.
+    fsync_interval_ms: published versions are forced to disk at most that often; 0 forces each.
+    compaction_threshold, compaction_interval_s: runs, and seconds, from which on ``maintain`` compacts.
+    """
 
     memtable_threshold: int = 128 * MIB
     fsync_interval_ms: int = 0
     compaction_threshold: int = 2
     compaction_interval_s: float = 10.0
     compaction_enabled: bool = True
+    max_commit_runs: int = 32
 
     def __post_init__(self) -> None:
-        if self.memtable_threshold <= 0:
-            raise ValueError(f"memtable_threshold must be positive, got {self.memtable_threshold}")
-        if self.memtable_threshold > 1024 * MIB:
-            raise ValueError(f"memtable_threshold too large: {self.memtable_threshold} bytes, at most 1 GiB")
-        if self.fsync_interval_ms < 0:
-            raise ValueError(f"fsync_interval_ms must be >= 0, got {self.fsync_interval_ms}")
-        if self.fsync_interval_ms > 10_000:
-            raise ValueError(f"fsync_interval_ms cannot exceed 10000ms, got {self.fsync_interval_ms}")
+        if not 0 < self.memtable_threshold <= 1024 * MIB:
+            raise ValueError(f"memtable_threshold: {self.memtable_threshold} bytes, where 1 to {1024 * MIB} will do")
+        if not 0 <= self.fsync_interval_ms <= 10_000:
+            raise ValueError(f"fsync_interval_ms: {self.fsync_interval_ms}, where 0 to 10000 will do")
+        # These two messages, which callers look for.
         if self.compaction_threshold < 2:
             raise ValueError(f"compaction_threshold must be >= 2, got {self.compaction_threshold}")
         if self.compaction_interval_s <= 0:
             raise ValueError(f"compaction_interval_s must be positive, got {self.compaction_interval_s}")
+        if self.max_commit_runs < 2:
+            raise ValueError(f"max_commit_runs: {self.max_commit_runs}, where 2 or more will do")
 
 
 def checked_location(location: str) -> str:
     """A storage location as a URI; a local one must be writable or creatable."""
     if not location or not location.strip():
-        raise ValueError("storage_dir cannot be empty")
+        raise ValueError("a store needs a folder, storage_dir is blank")
     if "://" in location:
         return location.rstrip("/")
     path = os.path.abspath(location)
@@ -59,5 +64,5 @@ def checked_location(location: str) -> str:
     while not os.path.exists(probe):
         probe = os.path.dirname(probe)
     if not os.access(probe, os.W_OK):
-        raise PermissionError(f"storage_dir not writable: {path}")
+        raise PermissionError(f"no permission to write in {path}, which storage_dir names")
     return f"file://{path}"

@@ -31,8 +31,13 @@ def running_latest(log: DataFrame) -> DataFrame:
     return latest(log)
 
 
-def tail(store: Store, schema=None) -> DataFrame:
-    """The rows of the store's runs as a stream, commit after commit; flushed and compacted runs repeat rows."""
-    from keystrata.schema import LOG
+def tail(store: Store) -> DataFrame:
+    """The rows of the store's commits as a stream, version after version of its manifest.
 
-    return store.spark.readStream.schema(schema or LOG).option("pathGlobFilter", "*.parquet").parquet(f"{store.root}/runs/commit-*")
+    It begins with what the oldest version kept holds. Rows of commits that failed never show up; flush and
+    compaction add nothing. A stream that has fallen behind what ``vacuum`` keeps fails.
+    """
+    from keystrata.streaming.tail import TailSource
+
+    store.spark.dataSource.register(TailSource)
+    return store.spark.readStream.format(TailSource.name()).load(store.root)

@@ -1,5 +1,3 @@
-from pyspark.sql import functions as F
-
 from keystrata.schema import LOG
 from keystrata.streaming.ingest import ingest, running_latest, tail
 
@@ -31,9 +29,33 @@ def test_running_latest(spark, log, tmp_path):
     assert sorted((r.key, r.data) for r in spark.table("newest").collect()) == [("a", None), ("b", "2")]
 
 
-def test_tail_reads_commits(spark, store):
+def drained(store, name, check):
+    query = tail(store).writeStream.format("parquet").option("path", f"{check}/out").option("checkpointLocation", f"{check}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return sorted((r.key, r.data or "") for r in store.spark.read.schema(LOG).parquet(f"{check}/out").collect())
+
+
+def test_tail_follows_the_manifest(spark, store, tmp_path):
     store.put("a", "1")
     store.put("a", "2")
-    query = tail(store).where(F.col("vtype") == 0).writeStream.format("memory").queryName("tailed").trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert sorted(r.data for r in spark.table("tailed").collect()) == ["1", "2"]
+    store.files.create("runs/commit-of-a-writer-that-lost/part-0.parquet", "junk")
+    assert drained(store, "t", tmp_path) == [("a", "1"), ("a", "2")]
+    store.delete("a")
+    store.put("b", "3")
+    store.flush()
+    store.compact()
+    assert drained(store, "t", tmp_path) == [("a", ""), ("a", "1"), ("a", "2"), ("b", "3")]
+
+
+def test_tail_behind_a_vacuum_fails(spark, store, tmp_path):
+    store.put("a", "1")
+    drained(store, "t", tmp_path)
+    for i in range(3):
+        store.put("b", str(i))
+    store.vacuum(min_age_s=0)
+    try:
+        drained(store, "t", tmp_path)
+    except Exception as error:
+        assert "vacuum" in str(error)
+    else:
+        raise AssertionError("it should have failed")
