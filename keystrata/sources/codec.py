@@ -37,6 +37,7 @@ class WALCorruptionError(Exception):
     """A frame's checksum differs from that of its bytes."""
 
     def __init__(self, expected: int, actual: int, entry_offset: int):
+        # Fixed value: the message, which callers look for.
         super().__init__(f"WAL corruption detected at offset {entry_offset}: expected CRC32 0x{expected:08x}, got 0x{actual:08x}")
         self.expected, self.actual, self.entry_offset = expected, actual, entry_offset
 
@@ -89,8 +90,8 @@ def write_wal(stream: BinaryIO, versions: Iterable[Version]) -> int:
     return n
 
 
-def read_wal(stream: BinaryIO) -> Iterator[Version]:
-    """The entries up to the end or a torn tail; a wrong checksum raises WALCorruptionError with its offset."""
+def wal_frames(stream: BinaryIO) -> Iterator[tuple[int, Version]]:
+    """(offset behind the frame, entry) up to the end or a torn tail; a wrong checksum raises WALCorruptionError with its offset."""
     offset = 0
     while len(head := stream.read(4)) == 4:
         (size,) = struct.unpack(">I", head)
@@ -100,8 +101,13 @@ def read_wal(stream: BinaryIO) -> Iterator[Version]:
         entry, (expected,) = body[:size], struct.unpack(">I", body[size:])
         if (actual := zlib.crc32(entry)) != expected:
             raise WALCorruptionError(expected, actual, offset)
-        yield unpack_entry(entry)
         offset += 8 + size
+        yield offset, unpack_entry(entry)
+
+
+def read_wal(stream: BinaryIO) -> Iterator[Version]:
+    """The entries of ``wal_frames``."""
+    return (version for _, version in wal_frames(stream))
 
 
 def next_seq(stream: BinaryIO) -> int:

@@ -1,5 +1,6 @@
 import http.client
 import json
+import socket
 import threading
 
 import pytest
@@ -42,7 +43,19 @@ def test_over_a_socket_with_keep_alive(store):
     running = server(store)
     threading.Thread(target=running.serve_forever, daemon=True).start()
     link = http.client.HTTPConnection(*running.server_address)
-    for method, target, body, wanted in [("PUT", "/keys", '{"key": "k", "value": "値"}', {"success": True}), ("GET", "/keys?key=k", None, {"key": "k", "value": "値"}), ("GET", "/x", None, {"error": "Route Not Found"})]:
+    for method, target, body, wanted in [("PUT", "/keys", '{"key": "k", "value": "値"}', {"success": True}), ("GET", "/keys?key=k", None, {"key": "k", "value": "値"}), ("GET", "/x", None, {"error": "nothing answers GET /x"})]:
         link.request(method, target, body.encode() if body else None)
         assert json.loads(link.getresponse().read()) == wanted
     running.shutdown()
+
+
+@pytest.mark.parametrize(("length", "status"), [("-1", 400), ("abc", 400), ("1e3", 400), ("", 200), ("+5", 400), (str(1 << 40), 413)])
+def test_lengths_that_cannot_be_read_end_the_connection(store, length, status):
+    running = server(store)
+    threading.Thread(target=running.serve_forever, daemon=True).start()
+    with socket.create_connection(running.server_address, timeout=10) as link:
+        link.sendall(f"GET /keys?key=k HTTP/1.1\r\nHost: h\r\nContent-Length: {length}\r\n\r\n".encode())
+        answer = link.recv(65536).decode()
+        assert answer.startswith(f"HTTP/1.1 {status} ")
+        assert ("Connection: close" in answer) == (status != 200)
+    running.shutdown()
