@@ -10,12 +10,16 @@ from __future__ import annotations
 
 import io
 import re
+import uuid
 from collections.abc import Iterator
+from datetime import datetime
 
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from keystrata.schema import LOG
-from keystrata.sources.codec import TableFile, read_wal
+from keystrata.sources.codec import TableFile, Version, read_wal, write_table, write_wal
 
 
 def _store(path: str):
@@ -124,10 +128,31 @@ def register(spark) -> None:
     spark.dataSource.register(TableSource)
 
 
+def save_files(log: DataFrame, folder: str, kind: str) -> list[str]:
+    """Writes ``log`` to ``folder``, a file for each epoch: ``wal``, rows in order, or ``sst``, newest versions by key.
+
+    Files are written where the rows are, an epoch in one task, which is what one file holds. Each has its
+    name only once it is whole, so a task that is run again does no harm. Returns the paths.
+    """
+
+    def save(key: tuple, rows: pa.Table) -> pa.Table:
+        epoch = key[0].as_py()
+        versions = [Version(r["key"], r["data"], r["vtype"], r["ts"] or datetime(1970, 1, 1), r["seq"]) for r in rows.sort_by("seq").to_pylist()]
+        if kind == "sst":
+            versions = [v for _, v in sorted({v.key: v for v in versions}.items())]
+        store, name = _store(f"{folder}/{epoch:06d}.{kind}")
+        store.create_dir(name.rpartition("/")[0])
+        unfinished = f"{name}.{uuid.uuid4().hex}.unfinished"
+        with store.open_output_stream(unfinished) as out:
+            (write_wal if kind == "wal" else write_table)(out, versions)
+        store.move(unfinished, name)
+        return pa.table({"path": [f"{folder}/{epoch:06d}.{kind}"]})
+
+    return sorted(r.path for r in log.groupBy("epoch").applyInArrow(save, "path string").collect())
+
+
 def wal_bytes(versions) -> bytes:
     """A log file's bytes."""
-    from keystrata.sources.codec import write_wal
-
     out = io.BytesIO()
     write_wal(out, versions)
     return out.getvalue()
@@ -135,8 +160,6 @@ def wal_bytes(versions) -> bytes:
 
 def table_bytes(versions) -> bytes:
     """A sorted table's bytes."""
-    from keystrata.sources.codec import write_table
-
     out = io.BytesIO()
     write_table(out, versions)
     return out.getvalue()

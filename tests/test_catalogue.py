@@ -3,12 +3,12 @@ import os
 import duckdb
 import pytest
 
-from keystrata.plans import catalogue, store_queries
+from keystrata.plans import catalogue, file_queries, store_queries
 
 DATA = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
-QUERIES = catalogue.queries() | store_queries.queries()
-SQL = catalogue.oracle_sql() | store_queries.oracle_sql()
+QUERIES = catalogue.queries() | store_queries.queries() | file_queries.queries()
+SQL = catalogue.oracle_sql() | store_queries.oracle_sql() | file_queries.oracle_sql()
 
 
 @pytest.fixture(scope="module")
