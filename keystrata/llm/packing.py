@@ -81,7 +81,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     bound_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = per_worker(f"pieces:{tokenizer}", lambda: Chunks(tokenizer, True, id_bytes, b"".join))
+        chunks = per_worker(f"pieces:{tokenizer}", lambda: Chunks(tokenizer, True, id_bytes, b"".join, limit=250_000))
         end = id_bytes([end_id])
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import re
 import sys
 import types
@@ -70,8 +72,14 @@ def per_worker(name: str, make: Callable, version: str = ""):
 
 
 def release() -> None:
-    """Gives up what ``per_worker`` keeps."""
-    per_worker("", lambda: None)
+    """Gives up what ``per_worker`` keeps, and the memory that it took, to the system."""
+    store = sys.modules.get("_keystrata_worker")
+    if store is not None and getattr(store, "kept", None) is not None:
+        per_worker("", lambda: None)
+        gc.collect()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:  # glibc keeps what was freed otherwise
+            trim(0)
 
 
 def byte_level(text: str) -> str:
