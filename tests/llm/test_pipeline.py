@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from keystrata.llm import quality, toxicity
 from keystrata.llm.learning import held_out
-from tests.llm.conftest import records
+from tests.llm.conftest import frame, records
 from tests.llm.test_decontamination import brute as brute_hits
 from tests.llm.test_near_dedup import brute as brute_components
 from tests.llm.test_tokens import best_fit, ids
@@ -60,3 +60,34 @@ def test_each_stage_equals_brute_force(spark, tables, tmp_path):
 def test_run_is_all_stages(spark):
     found = records(corpus_pipeline.run(spark, DATA))
     assert found and {"doc_id", "piece", "sequence_id", "offset"} <= set(found[0])
+
+
+def test_stages_take_nulls_clashing_columns_and_no_rows(spark, tables, empty, tmp_path):
+    """Every stage on rows without text or identifier, repeated rows, a very long text and columns of other names."""
+    some = [(r["doc_id"], r["text"]) for r in records(tables["documents"].select("doc_id", "text"))][:60]
+    docs = frame(spark, [*some, (None, None), (None, some[0][1]), (9001, None), (9002, ""), (9003, "word " * 100_000), some[5], some[5]])
+    docs = docs.withColumn("text_hash", F.lit("clash")).withColumn("root", F.lit(1)).withColumn("component", F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns
+        kept = records(out.select("doc_id", "text"))
+        assert {(r["doc_id"], r["text"]) for r in kept} <= {(r["doc_id"], r["text"]) for r in records(docs.select("doc_id", "text"))}, name
+        if name == "MinHash near-dedup":
+            assert sum(r["text"] == some[5][1] for r in kept) == 1 and sum(r["text"] is None for r in kept) == 2
+        assert records(stage(spark, empty, DATA)) == []
+    packed = records(corpus_pipeline.STAGES[-1][1](spark, docs, DATA))
+    assert sum(r["length"] for r in packed if r["doc_id"] == 9002) == 1
+    assert records(corpus_pipeline.STAGES[-1][1](spark, empty, DATA)) == []
+
+
+def test_a_run_leaves_other_results_alone(spark, tables):
+    """A result that was made before, and not yet read, is whole after a run; the run leaves only what its own result reads."""
+    from keystrata.llm import queries, scratch
+
+    before = queries.op9_near_dedup(spark, DATA)
+    folder = scratch.shared_dir(spark).removeprefix("file://")
+    there = set(os.listdir(folder))
+    found = corpus_pipeline.run(spark, DATA)
+    left = {x.split("-")[1] for x in set(os.listdir(folder)) - there if x.startswith("keystrata-")}
+    assert left <= {"pieces"} and found.count() > 0
+    assert before.count() == tables["documents"].count()
