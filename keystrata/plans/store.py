@@ -299,6 +299,18 @@ class Store:
         runs = self.manifests.current().runs
         return {"runs": len(runs), "entries": sum(r.n_entries for r in runs), "tombstones": sum(r.n_tombstones for r in runs), "bytes": sum(r.n_bytes for r in runs)}
 
+    def disk(self) -> dict[str, tuple[int, int]]:
+        """Number and bytes on disk by what they are: runs of each kind, manifests, and files that no current version names."""
+        found: dict[str, tuple[int, int]] = {}
+        current = {r.path: r.kind for r in self.manifests.current().runs}
+        for folder in ("runs", "manifest"):
+            for name in self.files.names(folder):
+                if not name.startswith("."):
+                    kind = "manifests" if folder == "manifest" else current.get(f"runs/{name}", "others")
+                    n, size = found.get(kind, (0, 0))
+                    found[kind] = (n + 1, size + self.files.size(f"{folder}/{name}"))
+        return found
+
     def save_bucketed(self, table: str, buckets: int = 64) -> DataFrame:
         """The newest versions as a table bucketed and sorted by key: later reads by key need no exchange."""
         self.latest().write.mode("overwrite").bucketBy(buckets, "key").sortBy("key").saveAsTable(table)

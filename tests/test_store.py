@@ -302,3 +302,15 @@ def test_few_ranges_reach_the_scan_and_outer_runs_are_not_opened(spark, store):
     assert "PushedFilters: [" in found._jdf.queryExecution().executedPlan().toString() and len(found.inputFiles()) < len(store.log().inputFiles())
     assert sorted((r.lo, r.key) for r in found.collect()) == [("k0010", "k0010"), ("k0010", "k0011"), ("k0010", "k0012"), ("k0500", "k0500"), ("k0500", "k0501")]
     assert store.multi_scan(ranges.where("lo > hi")).count() == 0
+
+
+def test_disk_by_kind(store):
+    store.put("a", "1")
+    store.put("a", "2")
+    assert {k: n for k, (n, _) in store.disk().items()} == {"commit": 2, "manifests": 2}
+    store.compact()
+    found = store.disk()
+    assert {k: n for k, (n, _) in found.items()} == {"compact": 1, "others": 2, "manifests": 3} and all(size > 0 for _, size in found.values())
+    assert found["compact"][1] == store.stats()["bytes"]
+    store.vacuum(min_age_s=0)
+    assert set(store.disk()) == {"compact", "manifests"}
