@@ -71,14 +71,15 @@ def multi_scan(log: DataFrame, ranges: DataFrame) -> DataFrame:
     """
     asked = ranges.select("lo", "hi").where("lo < hi").distinct()
     inside = (F.col("key") >= F.col("lo")) & (F.col("key") < F.col("hi"))
-    n, low, high = asked.agg(F.count("*"), F.min("lo"), F.max("hi")).first()
     value = lambda rows: latest(rows).select("key", live_value().alias("value"))
-    log = log.where(in_range(low, high)) if n else log.limit(0)
-    if n <= PLAIN_RANGES:
+    first = asked.limit(PLAIN_RANGES + 1).collect()
+    if len(first) <= PLAIN_RANGES:
         wanted = F.lit(False)
-        for r in asked.collect():
+        for r in first:
             wanted = wanted | in_range(r.lo, r.hi)
         return value(log.where(wanted)).join(F.broadcast(asked), inside).select("lo", "hi", "key", "value")
+    n, low, high = asked.agg(F.count("*"), F.min("lo"), F.max("hi")).first()
+    log = log.where(in_range(low, high))
     # Many ranges: both sides are cut at the same boundaries, which makes the join one of equal numbers. Ranges that
     # are few enough to broadcast are cut evenly themselves; else the rows are, for these are then shuffled by part.
     few = n <= BROADCAST_RANGES
