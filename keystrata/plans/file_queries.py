@@ -15,7 +15,7 @@ from keystrata.plans.store import Store
 from keystrata.plans.store_queries import _THIRDS, _changes, _filled, _folder
 from keystrata.schema import StoreConfig
 from keystrata.sources.adapters import events_log, padded
-from keystrata.sources.binary import discover, register, save_files
+from keystrata.sources.binary import discover, load, save_files
 from keystrata.sources.codec import TableFile, WALCorruptionError, read_wal
 from keystrata.sources.migrate import read_folder
 
@@ -36,7 +36,6 @@ def _uri(folder: str) -> str:
 
 
 def _saved(spark: SparkSession, d: str, kind: str) -> tuple[str, list[str]]:
-    register(spark)
     folder = _uri(_folder(spark, kind))
     return folder, save_files(events_log(spark.read.parquet(f"{d}/events.parquet")), folder, kind)
 
@@ -52,14 +51,13 @@ def _opened(path: str):
 def wal_scan(spark, d):
     """Log files, one for each epoch, read back as a log."""
     folder, _ = _saved(spark, d, "wal")
-    return V.scan(spark.read.format("wal").load(folder))
+    return V.scan(load(spark, "wal", folder))
 
 
 @query(f"WITH {_SQL['log']} SELECT key, epoch, seq, data AS value FROM log WHERE key >= '{LO}' AND key < '{HI}'")
 def wal_range(spark, d):
     folder, _ = _saved(spark, d, "wal")
-    rows = spark.read.format("wal").load(folder).where(V.in_range(LO, HI))
-    return rows.select("key", "epoch", "seq", F.col("data").alias("value"))
+    return load(spark, "wal", folder, LO, HI).select("key", "epoch", "seq", F.col("data").alias("value"))
 
 
 @query(f"{_WITH} SELECT key, data AS value FROM latest")
@@ -71,7 +69,7 @@ def wal_recovery(spark, d):
         whole = file.read()
     with store.open_output_stream(name) as out:
         out.write(whole + whole[:17])
-    return V.scan(spark.read.format("wal").load(folder))
+    return V.scan(load(spark, "wal", folder))
 
 
 @query("SELECT TRUE AS detected, CAST(0 AS BIGINT) AS at_offset")
@@ -100,19 +98,19 @@ _FLUSHED = "flushed AS (SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (
 def sst_scan(spark, d):
     """Sorted tables, one for each epoch, through their index."""
     folder, _ = _saved(spark, d, "sst")
-    return spark.read.format("sst").load(folder).select("key", "epoch", (F.col("vtype") == 1).alias("deleted"), F.col("data").alias("value"))
+    return load(spark, "sst", folder).select("key", "epoch", (F.col("vtype") == 1).alias("deleted"), F.col("data").alias("value"))
 
 
 @query(f"{_WITH} SELECT key, data AS value FROM latest WHERE key = '{KEY}'")
 def sst_point_get(spark, d):
     folder, _ = _saved(spark, d, "sst")
-    return V.get(spark.read.format("sst").load(folder), KEY)
+    return V.get(load(spark, "sst", folder, KEY, KEY + "\0"), KEY)
 
 
 @query(f"{_WITH} SELECT key, data AS value FROM latest WHERE key >= '{LO}' AND key < '{HI}'")
 def sst_range(spark, d):
     folder, _ = _saved(spark, d, "sst")
-    return V.scan(spark.read.format("sst").load(folder), LO, HI)
+    return V.scan(load(spark, "sst", folder, LO, HI), LO, HI)
 
 
 @query(f"WITH {_SQL['log']} SELECT count(DISTINCT key) AS n_keys, bool_or(key = '{KEY}') AS has_key, bool_or(key >= '{LO}' AND key < '{HI}') AS has_range FROM log WHERE epoch = (SELECT max(epoch) FROM log)")
@@ -135,7 +133,6 @@ def run_discovery(spark, d):
 @query(f"""WITH {_SQL['log']}, {_SQL['latest']} SELECT key, data AS value FROM latest""")
 def folder_adopted(spark, d):
     """Older epochs as tables and newer ones as logs, adopted by a store."""
-    register(spark)
     folder, log = _uri(_folder(spark, "adopted")), events_log(spark.read.parquet(f"{d}/events.parquet"))
     middle = (log.agg(F.max("epoch")).first()[0] or 0) // 2
     save_files(log.where(F.col("epoch") <= middle), f"{folder}/sstables", "sst")
@@ -312,11 +309,10 @@ def store_life(spark, d):
 @query("SELECT printf('doc_%010d', doc_id) AS key, 'n' || doc_id AS value FROM documents WHERE doc_id >= 100 AND doc_id < 200")
 def sst_prefix(spark, d):
     """A prefix of keys from sorted tables."""
-    register(spark)
-    folder = _uri(_folder(spark, "prefix"))
+    folder, wanted = _uri(_folder(spark, "prefix")), prefix_range("doc_00000001")
     docs = spark.read.parquet(f"{d}/documents.parquet").select(padded("doc_", "doc_id").alias("key"), F.expr("doc_id div 50").alias("epoch"), F.col("doc_id").alias("seq"), F.lit(0).cast("byte").alias("vtype"), F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("data"), F.lit(None).cast("timestamp_ntz").alias("ts"))
     save_files(docs, folder, "sst")
-    return V.scan(spark.read.format("sst").load(folder), *prefix_range("doc_00000001"))
+    return V.scan(load(spark, "sst", folder, *wanted), *wanted)
 
 
 def queries() -> dict[str, Callable]:

@@ -1,9 +1,11 @@
 """Spark data sources for binary logs (``wal``) and sorted tables (``sst``).
 
 ``spark.read.format("wal").load(paths or globs, separated by commas)``. One file is one partition; its
-epoch is the number in its name, else its place in the sorted list. Comparisons of ``key`` with constants
-are used to skip entries and are handed back to Spark, which checks them again. Paths are opened through
-pyarrow's filesystems, so any store that these know will do.
+epoch is the number in its name, else its place in the sorted list. Options ``start`` and ``end`` give
+start <= key < end alone, in any session; ``load`` sets them. With the option ``pushdown`` "true",
+comparisons of ``key`` with constants are also used to skip entries and are handed back to Spark, which checks
+them again: for sessions with ``spark.sql.python.filterPushdown.enabled``, since Spark refuses a reader that
+takes filters in others. Paths are opened through pyarrow's filesystems, so any store that these know will do.
 """
 
 from __future__ import annotations
@@ -55,22 +57,13 @@ class _Reader(DataSourceReader):
     suffix = ""
 
     def __init__(self, options: dict):
-        self.paths, self.low, self.high = options["path"], None, None
-
-    def pushFilters(self, filters: list) -> Iterator:
-        for f in filters:
-            if getattr(f, "attribute", None) == ("key",) and isinstance(getattr(f, "value", None), str):
-                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
-                    self.low = f.value if self.low is None else max(self.low, f.value)
-                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
-                    self.high = f.value if self.high is None else min(self.high, f.value)
-            yield f
+        self.paths, self.start, self.end = options["path"], options.get("start"), options.get("end")
 
     def partitions(self) -> list[InputPartition]:
         return [FilePartition(*x) for x in discover(self.paths, self.suffix)]
 
     def _wanted(self, key: str) -> bool:
-        return (self.low is None or key >= self.low) and (self.high is None or key <= self.high)
+        return (self.start is None or key >= self.start) and (self.end is None or key < self.end)
 
 
 class WalReader(_Reader):
@@ -92,12 +85,37 @@ class TableReader(_Reader):
         epoch, path = partition.value
         store, name = _store(path)
         with store.open_input_file(name) as stream:
-            table = TableFile(stream, stream.size())
-            end = None if self.high is None else self.high + "\0"
-            for v in table.scan(self.low, end):
+            for v in TableFile(stream, stream.size()).scan(self.start, self.end):
                 yield v.key, epoch, 0, v.vtype, v.data, v.ts
 
 
+class _Pushed(_Reader):
+    """Narrows the range by comparisons of ``key``; the least key after one is it and a zero."""
+
+    def pushFilters(self, filters: list) -> Iterator:
+        for f in filters:
+            if getattr(f, "attribute", None) == ("key",) and isinstance(getattr(f, "value", None), str):
+                if isinstance(f, (EqualTo, GreaterThan, GreaterThanOrEqual)):
+                    start = f.value + "\0" * isinstance(f, GreaterThan)
+                    self.start = start if self.start is None else max(self.start, start)
+                if isinstance(f, (EqualTo, LessThan, LessThanOrEqual)):
+                    end = f.value + "\0" * (not isinstance(f, LessThan))
+                    self.end = end if self.end is None else min(self.end, end)
+            yield f
+
+
+class PushedWalReader(_Pushed, WalReader):
+    pass
+
+
+class PushedTableReader(_Pushed, TableReader):
+    pass
+
+
+def _pushed(options: dict) -> bool:
+    return options.get("pushdown", "false").lower() == "true"
+
+
 class WalSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -107,7 +125,7 @@ class WalSource(DataSource):
         return LOG
 
     def reader(self, schema) -> WalReader:
-        return WalReader(self.options)
+        return (PushedWalReader if _pushed(self.options) else WalReader)(self.options)
 
 
 class TableSource(DataSource):
@@ -119,7 +137,7 @@ class TableSource(DataSource):
         return LOG
 
     def reader(self, schema) -> TableReader:
-        return TableReader(self.options)
+        return (PushedTableReader if _pushed(self.options) else TableReader)(self.options)
 
 
 def register(spark) -> None:
@@ -128,6 +146,12 @@ def register(spark) -> None:
     spark.dataSource.register(TableSource)
 
 
+def load(spark, kind: str, paths: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """The log in files of ``kind`` (``wal`` or ``sst``), or its part with start <= key < end."""
+    register(spark)
+    return spark.read.format(kind).options(**{k: v for k, v in (("start", start), ("end", end)) if v is not None}).load(paths)
+
+
 def save_files(log: DataFrame, folder: str, kind: str) -> list[str]:
     """Writes ``log`` to ``folder``, a file for each epoch: ``wal``, rows in order, or ``sst``, newest versions by key.
 

@@ -6,19 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.schema import LOG
-from keystrata.sources.binary import discover, register
+from keystrata.sources.binary import discover, load
 
 
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Tables count by their number, logs after all tables by theirs; unfinished files are not read."""
-    register(spark)
     tables, logs = (_files(f"{folder.rstrip('/')}/{sub}", suffix) for sub, suffix in (("sstables", ".sst"), ("wal", ".wal")))
     after = max((number for number, _ in tables), default=-1) + 1
     found = spark.createDataFrame([], LOG)
     if tables:
-        found = found.unionByName(spark.read.format("sst").load(",".join(path for _, path in tables)))
+        found = found.unionByName(load(spark, "sst", ",".join(path for _, path in tables)))
     if logs:
-        rows = spark.read.format("wal").load(",".join(path for _, path in logs))
+        rows = load(spark, "wal", ",".join(path for _, path in logs))
         found = found.unionByName(rows.withColumn("epoch", F.col("epoch") + after))
     return found
 

@@ -88,6 +88,35 @@ def test_sources(spark, tmp_path):
     assert rows(V.get(log, "c")) == [("c", "")]
 
 
+@pytest.fixture(params=["false", "true"])
+def pushdown(spark, request):
+    setting = "spark.sql.python.filterPushdown.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, request.param)
+    yield request.param
+    spark.conf.set(setting, before)
+
+
+def test_sources_read_whether_or_not_a_session_pushes_filters(spark, tmp_path, pushdown):
+    versions = [Version(k, k, 0, TS, i) for i, k in enumerate(["a", "b", "b\0", "c"])]
+    (tmp_path / "0.wal").write_bytes(binary.wal_bytes(versions))
+    (tmp_path / "0.sst").write_bytes(binary.table_bytes(versions))
+    binary.register(spark)
+    for kind in ("wal", "sst"):
+        log = spark.read.format(kind).option("pushdown", pushdown).load(str(tmp_path))
+        for wanted, keys in (("true", "a,b,b\0,c"), ("key = 'b'", "b"), ("key > 'b'", "b\0,c"), ("key >= 'b'", "b,b\0,c"), ("key < 'b'", "a"), ("key <= 'b'", "a,b")):
+            assert ",".join(sorted(r.key for r in log.where(wanted).collect())) == keys
+
+
+def test_sources_read_a_range(spark, tmp_path, pushdown):
+    versions = [Version(k, k, 0, TS, i) for i, k in enumerate(["a", "b", "b\0", "c"])]
+    (tmp_path / "0.wal").write_bytes(binary.wal_bytes(versions))
+    (tmp_path / "0.sst").write_bytes(binary.table_bytes(versions))
+    for kind in ("wal", "sst"):
+        for bounds, keys in (((), "a,b,b\0,c"), (("b", "c"), "b,b\0"), (("b\0",), "b\0,c"), ((None, "b"), "a"), (("c", "a"), "")):
+            assert ",".join(sorted(r.key for r in binary.load(spark, kind, str(tmp_path), *bounds).collect())) == keys
+
+
 def test_source_raises_on_damage(spark, tmp_path):
     binary.register(spark)
     data = bytearray(binary.wal_bytes(entries(2)))
