@@ -11,7 +11,8 @@ to 1. There each labelled document weighs alike, but a toxic one ``MISSED`` time
 
 The curve takes, of each class, 7 in 22 of the labelled documents and ``CALIBRATE`` at most, those with the
 least hash of their doc_id; the models count the n-grams of all others, over their whole texts and by partial
-aggregates. The rarest n-grams go where more than ``GRAMS`` are distinct, which bounds what is broadcast.
+aggregates, and hold every n-gram. Up to ``GRAMS`` distinct ones they are broadcast; larger models are a file
+that each executor fetches once and whose pages its workers share.
 A gram is its bytes in a 64-bit number and a model is sorted arrays of these, so that the words which a
 worker has not met are scored together. Scoring covers every row and whole texts, also very long ones.
 Null and empty texts have no words and are scored as such. Labels that are null, or of documents that don't
@@ -22,14 +23,18 @@ out. Columns other than doc_id and text are not read; an empty table gives no ro
 
 from __future__ import annotations
 
+import atexit
 import math
+import os
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keystrata.llm.learning import held_out, known_labels, logistic
@@ -185,16 +190,18 @@ def count_grams(taught: DataFrame) -> DataFrame:
     return taught.mapInArrow(count, "gram long, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
 
 
-def gathered(counted: DataFrame, most: int = GRAMS) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
-    """By class, the grams of ``counted`` and their counts; the rarest go where there are more than ``most``."""
-    n = F.least(F.col("ordinary") + F.col("toxic"), F.lit(1000))
-    left, least = 0, 1
-    for row in sorted(counted.groupBy(n.alias("n")).agg(F.count("*").alias("grams")).collect(), key=lambda r: -r.n):
-        left += row.grams
-        if left > most:
-            least = row.n + 1
-            break
-    table = counted.where(F.col("ordinary") + F.col("toxic") >= least).toArrow()
+def gathered(counted: DataFrame, most: int | None = None) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+    """By class, all grams of ``counted`` and their counts; for a caller that gives ``most``, without the rarest beyond it."""
+    if most is not None:
+        n = F.least(F.col("ordinary") + F.col("toxic"), F.lit(1000))
+        left, least = 0, 1
+        for row in sorted(counted.groupBy(n.alias("n")).agg(F.count("*").alias("grams")).collect(), key=lambda r: -r.n):
+            left += row.grams
+            if left > most:
+                least = row.n + 1
+                break
+        counted = counted.where(F.col("ordinary") + F.col("toxic") >= least)
+    table = counted.toArrow()
     codes = table.column(0).to_numpy().astype(np.uint64)
     tops = []
     for i in (1, 2):
@@ -203,6 +210,49 @@ def gathered(counted: DataFrame, most: int = GRAMS) -> tuple[tuple[np.ndarray, n
     return tuple(tops)
 
 
+class Shipped:
+    """Gives workers a model: broadcast up to ``most`` grams, beyond as a file of its arrays that they map, not load."""
+
+    def __init__(self, spark: SparkSession, model: KneserNey | None, most: int | None = None):
+        self.broadcast, self.parts, self.name = None, None, f"keystrata-model-{uuid.uuid4().hex}"
+        if model is None or sum(len(by_class[-1][0]) for by_class in model.tables) <= (GRAMS if most is None else most):
+            self.broadcast = spark.sparkContext.broadcast(model)
+            return
+        path = os.path.join(tempfile.mkdtemp(prefix="keystrata-model-"), self.name)
+        atexit.register(_forget, path)
+        with open(path, "wb") as out:
+            places: dict[int, tuple[str, int, int]] = {}  # tables that both classes share are written once
+
+            def place(x: np.ndarray) -> tuple[str, int, int]:
+                if id(x) not in places:
+                    out.write(b"\0" * (-out.tell() % 8))
+                    places[id(x)] = (x.dtype.str, len(x), out.tell())
+                    out.write(memoryview(np.ascontiguousarray(x)).cast("B") if len(x) else b"")
+                return places[id(x)]
+
+            self.parts = [[tuple(map(place, table)) for table in by_class] for by_class in model.tables]
+        self.rest = {k: v for k, v in vars(model).items() if k != "tables"}
+        spark.sparkContext.addFile(path)
+
+    def __call__(self) -> KneserNey | None:
+        if self.parts is None:
+            return self.broadcast.value
+        path, model = SparkFiles.get(self.name), KneserNey.__new__(KneserNey)
+        vars(model).update(self.rest)
+        model.tables = [[tuple(np.memmap(path, t, "r", at, (n,)) if n else np.empty(0, t) for t, n, at in table) for table in by_class] for by_class in self.parts]
+        return model
+
+    def unpersist(self) -> None:
+        if self.broadcast is not None:
+            self.broadcast.unpersist()
+
+
+def _forget(path: str) -> None:
+    if os.path.exists(path):
+        os.remove(path)
+        os.rmdir(os.path.dirname(path))
+
+
 def fit(docs: DataFrame, labels: DataFrame, unseen: Column) -> tuple:
     """(model, curve, share) from labelled documents; ``unseen`` tells the label rows that may not teach."""
     spark = docs.sparkSession
@@ -227,10 +277,10 @@ def fit(docs: DataFrame, labels: DataFrame, unseen: Column) -> tuple:
         counted = tables.write(count_grams(taught.join(chosen, "doc_id", "left_anti").select("text", "label")), "grams")
         fits = [max(1, sizes[c] - aside[c]) for c in (0, 1)]
         model = KneserNey(tuple((codes, counts * min(fits) / n) for (codes, counts), n in zip(gathered(counted), fits, strict=True)))
-        shipped = spark.sparkContext.broadcast(model)
+        shipped = Shipped(spark, model)
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            scorer = Scorer(shipped.value)
+            scorer = Scorer(shipped())
             for batch in batches:
                 if batch.num_rows:
                     x = scorer.features(batch.column(0).to_pylist())
@@ -247,11 +297,12 @@ def score_column(docs: DataFrame, labels: DataFrame, unseen: Column, text: Colum
     """A double column from 0 to 1: how likely ``text`` is to be labelled toxic."""
     spark = docs.sparkSession
     bound_batches(spark)
-    fitted, version = spark.sparkContext.broadcast(fit(docs, labels, unseen)), uuid.uuid4().hex
+    model, curve, share = fit(docs, labels, unseen)
+    shipped, version = Shipped(spark, model), uuid.uuid4().hex
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        scorer = per_worker("toxicity", lambda: Scorer(*fitted.value), version)
+        scorer = per_worker("toxicity", lambda: Scorer(shipped(), curve, share), version)
         for batch in batches:
             yield pd.Series(scorer(batch.tolist()))
 

@@ -192,6 +192,23 @@ def test_the_rarest_grams_go_where_there_are_too_many(spark):
     assert sorted(toxicity.gathered(counted, 10)[1][0].tolist()) == list(range(90, 100))
 
 
+def test_grams_beyond_the_broadcast_stay_in_the_model(spark, labelled, monkeypatch):
+    """A fit keeps every gram, and a model that is mapped from a file gives the scores of one that is broadcast."""
+    docs, labels = labelled
+    key = lambda r: (str(r["doc_id"]), r["score"])
+    broadcast = sorted(records(toxicity.score_toxicity(docs, labels)), key=key)
+    unseen = held_out(F.col("doc_id"), 4, 2)
+    sizes = [len(x[-1][0]) for x in toxicity.fit(docs, labels, unseen)[0].tables]
+    monkeypatch.setattr(toxicity, "GRAMS", 50)
+    assert [len(x[-1][0]) for x in toxicity.fit(docs, labels, unseen)[0].tables] == sizes and min(sizes) > 50
+    assert sorted(records(toxicity.score_toxicity(docs, labels)), key=key) == broadcast
+
+
+def test_more_grams_than_are_broadcast_are_all_gathered(spark):
+    counted = spark.range(toxicity.GRAMS + 100).selectExpr("id AS gram", "1L AS ordinary", "0L AS toxic")
+    assert [len(codes) for codes, _ in toxicity.gathered(counted)] == [toxicity.GRAMS + 100, 0]
+
+
 def plain_symbol_shares(text):
     """By line that is not blank: signs behind signs or alone between spaces, over spaces and one more."""
     out = []
