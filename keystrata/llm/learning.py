@@ -1,4 +1,4 @@
-"""What the two classifiers share: the split, the bounded sample of labelled rows, logistic curves."""
+"""What the two classifiers share: the split, the texts of labelled documents, logistic curves."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keystrata.llm.scratch import write
+from keystrata.llm.scratch import BROADCAST_IDS, Tables
 
 
 def held_out(doc_id: Column, parts: int, part: int) -> Column:
@@ -19,26 +19,17 @@ def known_labels(labels: DataFrame, label: str, unseen: Column) -> DataFrame:
     return labels.where(~unseen & F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(F.col(label)).cast("int").alias("label"))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, unseen: Column, most: dict[int, int]) -> tuple[DataFrame | None, float]:
-    """doc_id, text and label of at most ``most[class]`` documents of each class, and the share of class 1.
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str, unseen: Column, tables: Tables) -> tuple[DataFrame, float]:
+    """doc_id, text and label of all documents that may teach, and the share of class 1 among the labels.
 
-    Of more labels, those with the least hash of their doc_id are taken. ``labels`` may repeat a doc_id:
-    the largest label counts. None if a class has no document.
+    ``labels`` may repeat a doc_id: the largest label counts. Repeated rows of a document are one: of its texts
+    the least counts.
     """
-    known = known_labels(labels, label, unseen)
+    known = tables.write(known_labels(labels, label, unseen), "known")
     shares = {r.label: r.n for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    share = shares.get(1, 0) / max(1, sum(shares.values()))
-    hashed = known.withColumn("h", F.xxhash64("doc_id"))
-    taken = [hashed.where(F.col("label") == c).orderBy("h", "doc_id").limit(n) for c, n in most.items()]
-    chosen = taken[0]
-    for other in taken[1:]:
-        chosen = chosen.unionAll(other)
-    # At most sum(most) rows of two numbers: small enough to broadcast at any scale.
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen.select("doc_id", "label")), "doc_id")
-    # Repeated rows of a document are one, before they meet; of its texts the least counts.
-    sample = write(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), "labelled")
-    found = {r.label for r in sample.select("label").distinct().collect()}
-    return (sample if {0, 1} <= found else None), share
+    n = sum(shares.values())
+    rows = docs.select("doc_id", "text").join(F.broadcast(known) if n <= BROADCAST_IDS else known, "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label")), shares.get(1, 0) / max(1, n)
 
 
 class Curve:

@@ -258,6 +258,47 @@ def test_bradley_terry_learns_the_order():
     assert curve.weights[0] > 5 * abs(curve.weights[1])
 
 
+def test_bradley_terry_takes_all_pairs():
+    """The loss over every pair has no slope where the fit ends."""
+    pick = np.random.default_rng(1)
+    x, y = np.vstack([pick.normal(0, 1, (60, 3)), pick.normal(0.7, 1, (90, 3))]), np.repeat([0, 1], [60, 90])
+    learned = quality.bradley_terry(x, y)
+    z = np.clip((x - learned.middle) / learned.scale, -8, 8)
+    difference = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, 3)
+    slope = -(difference / (1 + np.exp(difference @ learned.weights))[:, None]).sum(axis=0) * 1000 / len(difference) + learned.weights
+    assert np.abs(slope).max() < 1e-2
+    drawn = quality.bradley_terry(x, y, pairs=200_000)
+    assert learned.weights == pytest.approx(drawn.weights, abs=0.03)
+
+
+def test_every_labelled_document_teaches_quality(spark, labelled, monkeypatch):
+    """Of more documents than are collected none is left out, and the fit is the one that the driver makes of all."""
+    docs, labels = labelled
+    unseen = held_out(F.col("doc_id"), 5, 0)
+    here, share = quality.fit(docs, labels, unseen)
+    seen = []
+    fitted = quality.all_pairs
+    monkeypatch.setattr(quality, "all_pairs", lambda rows: (seen.append(rows.total(lambda x, y: np.array([len(y)]))[0]), fitted(rows))[1])
+    monkeypatch.setattr(quality, "COLLECTED", 20)
+    monkeypatch.setattr(quality, "CUT_BINS", 4)
+    there, _ = quality.fit(docs, labels, unseen)
+    assert seen == [sum(zlib.crc32(str(i).encode()) % 5 > 0 for i in range(400))]
+    assert there.weights == pytest.approx(here.weights, abs=1e-6) and there.bias == pytest.approx(here.bias, abs=1e-6)
+
+
+@pytest.mark.parametrize("share", [0.001, 0.3, 0.5, 0.9, 0.999])
+def test_quality_cut_of_a_table_is_that_of_an_array(spark, share, monkeypatch):
+    from keystrata.llm.scratch import Tables
+
+    monkeypatch.setattr(quality, "COLLECTED", 5)
+    pick = np.random.default_rng(2)
+    x, y = np.round(pick.normal(size=(200, 1)), 2), pick.integers(0, 2, 200)
+    curve = quality.Strength(np.zeros(1), np.ones(1), np.ones(1), 0.0)
+    with Tables(spark) as tables:
+        table = spark.createDataFrame([(int(b), float(a)) for a, b in zip(x[:, 0], y, strict=True)], "label int, x0 double")
+        assert quality.There(table, tables).cut(curve, share) == pytest.approx(quality.cut(curve.margin(x), y, share), abs=0.011)
+
+
 def test_quality_cut_is_the_quantile_of_bad_labels():
     strength, y = np.arange(10.0), np.array([0] * 3 + [1] * 7)
     assert quality.cut(strength, y, 0.7) == 2.5
