@@ -186,3 +186,13 @@ def test_packing(spark, prose, empty, monkeypatch, part_rows):
     assert len(by_doc[3]) == 3 and len(by_doc[None]) == 1
     assert len(by_bin) == best_fit([r["length"] for r in found], 2048)
     assert records(packing.pack(empty, BYTE)) == []
+
+
+@pytest.mark.parametrize(("rows", "entries"), [(0, 20_000), (1, 3), (12, 20_000), (10**6, 20_000)])
+def test_counts_do_not_depend_on_the_rows_that_the_table_is_from(spark, prose, monkeypatch, rows, entries):
+    """The table of op8 decides about speed alone."""
+    texts = [*ODD, *(prose(30) for _ in range(20))]
+    whole = token_counts.frequent_lengths
+    monkeypatch.setattr(token_counts, "frequent_lengths", lambda docs, path, _: whole(docs, path, rows, entries))
+    found = {r["doc_id"]: r["n_tokens"] for r in records(token_counts.count_tokens(frame(spark, texts), WORD))}
+    assert found == {i: len(ids(WORD, text)) for i, text in enumerate(texts)}
