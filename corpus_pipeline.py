@@ -18,6 +18,8 @@ from keystrata.llm.scratch import held, new_path, remove
 
 THRESHOLD = 0.3
 TOKENIZER = "byte_bpe_50k.json"
+#: Chunks that a worker keeps while it packs: executors that have run four stages have little memory left for it.
+HELD_CHUNKS = 60_000
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,7 +46,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents with their places in sequences of at most 2048 tokens."""
-    return packing.pack(docs, public_tokenizers.path(TOKENIZER))
+    return packing.pack(docs, public_tokenizers.path(TOKENIZER), held=HELD_CHUNKS)
 
 
 STAGES = [

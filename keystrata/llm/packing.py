@@ -27,6 +27,8 @@ from keystrata.llm.scratch import bound_batches, write
 from keystrata.llm.words import Chunks, id_bytes, per_worker
 
 PART_ROWS = 250_000
+#: Chunks whose ids a worker keeps, in each of two generations; fewer take less memory and more time.
+HELD = 350_000
 
 
 def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int, int]]:
@@ -76,12 +78,12 @@ def plan(histogram: dict[int, int], capacity: int) -> list[tuple[int, int, int,
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, held: int = HELD) -> DataFrame:
     """The pieces of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32."""
     bound_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = per_worker(f"pieces:{tokenizer}", lambda: Chunks(tokenizer, True, id_bytes, b"".join))
+        chunks = per_worker(f"pieces:{tokenizer}:{held}", lambda: Chunks(tokenizer, True, id_bytes, b"".join, limit=held))
         end = id_bytes([end_id])
         for batch in batches:
             out: tuple[list, ...] = ([], [], [], [], [])
@@ -99,14 +101,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int =
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 2048, end_id: int = 0, held: int = HELD) -> DataFrame:
     """``pieces`` with sequence_id and offset: the place of each in as few sequences as best fit finds.
 
     What the driver gathers and broadcasts is the histogram, its parts and the plan: at most ``capacity``
     counts, one for each ``PART_ROWS`` pieces, and a few slots for each length.
     """
     spark = docs.sparkSession
-    cut = write(pieces(docs, tokenizer, capacity, end_id).withColumn("drawn", (F.rand(17) * 2.0**31).cast("long")), "pieces")
+    cut = write(pieces(docs, tokenizer, capacity, end_id, held).withColumn("drawn", (F.rand(17) * 2.0**31).cast("long")), "pieces")
     histogram = {r.length: r.n for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
     dealt = spark.createDataFrame([(length, -(-n // PART_ROWS)) for length, n in histogram.items()], "of long, parts long")
     cut = cut.join(F.broadcast(dealt), F.col("length") == F.col("of")).withColumn("part", F.col("drawn") % F.col("parts")).drop("of", "parts")

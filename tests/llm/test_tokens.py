@@ -1,4 +1,6 @@
 import random
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -196,3 +198,24 @@ def test_counts_do_not_depend_on_the_rows_that_the_table_is_from(spark, prose, m
     monkeypatch.setattr(token_counts, "frequent_lengths", lambda docs, path, _: whole(docs, path, rows, entries))
     found = {r["doc_id"]: r["n_tokens"] for r in records(token_counts.count_tokens(frame(spark, texts), WORD))}
     assert found == {i: len(ids(WORD, text)) for i, text in enumerate(texts)}
+
+
+def test_packing_is_the_same_with_few_chunks_held(spark, prose):
+    docs = frame(spark, [(n, prose(60)) for n in range(30)])
+    rows = lambda held: sorted(packing.pieces(docs, BYTE, held=held).collect())
+    assert rows(5) == rows(packing.HELD)
+
+
+def test_release_returns_what_was_freed_without_a_cache():
+    code = """
+import re
+from keystrata.llm.words import release
+def anonymous():
+    return sum(int(x) for x in re.findall(r"Pss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())) >> 10
+blocks, last = [bytes(1000) for _ in range(100_000)], bytes(1000)
+del blocks
+before = anonymous()
+release()
+print(before - anonymous())
+"""
+    assert int(subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout) > 50
