@@ -39,11 +39,13 @@ from pyspark.sql import functions as F
 
 from keystrata.llm.learning import held_out, known_labels, logistic
 from keystrata.llm.scratch import BROADCAST_IDS, Tables, bound_batches
-from keystrata.llm.words import per_worker, word_bytes
+from keystrata.llm.words import per_worker, release, word_bytes
 
 ORDER, SHARED, DISCOUNT = 6, 2, 0.75
 CALIBRATE, CALIBRATE_PARTS, MISSED, RIDGE = 700, (7, 22), 3.0, 5.0
 GRAMS, HELD_GRAMS = 2_000_000, 300_000
+#: Bytes of words that a worker counts at a time, whose numbers take some 60 times as much, and characters that it scores.
+COUNTED, SCORED = 1 << 18, 1 << 20
 TOP, PASSED = (1, 3, 8), (1, 2, 3, 4, 6)
 CACHED_WORDS, CACHED_BYTES = 150_000, 8 << 20
 
@@ -145,6 +147,15 @@ class Scorer:
         self.held = 0
 
     def features(self, texts: list) -> np.ndarray:
+        out, at, size = [], 0, 0
+        for end, text in enumerate(texts, 1):
+            size += len(text or "")
+            if size >= SCORED or end == len(texts):
+                out += self._features(texts[at:end])
+                at, size = end, 0
+        return np.array(out).reshape(len(texts), -1)
+
+    def _features(self, texts: list) -> list[list[float]]:
         words = [word_bytes(x) for x in texts]
         new = list(set().union(*words) - self.cache.keys())
         for at in range(0, len(new), 50_000):
@@ -154,7 +165,7 @@ class Scorer:
         out = [features(np.fromiter(map(self.cache.__getitem__, x), np.float64, len(x))) for x in words]
         if len(self.cache) > CACHED_WORDS or self.held > CACHED_BYTES:
             self.cache, self.held = {}, 0
-        return np.array(out).reshape(len(texts), -1)
+        return out
 
     def __call__(self, texts: list) -> np.ndarray:
         if self.model is None:
@@ -162,29 +173,50 @@ class Scorer:
         return self.curve(self.features(texts)) if len(texts) else np.empty(0)
 
 
+def worded(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes]]]:
+    """Labels and words of a batch's texts (text, label), ``COUNTED`` bytes or little more at a time."""
+    held: tuple[list[bytes], list[bytes]] = ([], [])
+    size = [0, 0]
+    for text, label in zip(batch.column(0), batch.column(1), strict=True):
+        c = label.as_py()
+        for word in word_bytes(text.as_py()):
+            held[c].append(word)
+            size[c] += len(word) + 1
+            if size[c] >= COUNTED:
+                yield c, held[c]
+                held[c].clear()
+                size[c] = 0
+    yield from ((c, words) for c, words in enumerate(held) if words)
+
+
 def count_grams(taught: DataFrame) -> DataFrame:
     """gram, ordinary, toxic: how often each gram occurs in texts (text, label) of either class."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         held: list[list[tuple[np.ndarray, np.ndarray]]] = [[], []]
 
+        def merge() -> int:
+            """Makes one part of each class's; the grams that are held then."""
+            for parts in held:
+                if len(parts) > 1:
+                    parts[:] = [_tally(*(np.concatenate([x[i] for x in parts]) for i in (0, 1)))]
+            return sum(len(x[0]) for parts in held for x in parts)
+
         def full() -> Iterator[pa.RecordBatch]:
             for c, parts in enumerate(held):
                 if parts:
-                    codes, counts = _tally(*(np.concatenate([x[i] for x in parts]) for i in (0, 1)))
+                    ((codes, counts),) = parts
                     none = np.zeros(len(codes), np.int64)
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (codes.astype(np.int64), *((counts.astype(np.int64), none)[:: 1 - 2 * c]))], ["gram", "ordinary", "toxic"])
                     parts.clear()
 
         for batch in batches:
-            words: list[list[bytes]] = [[], []]
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                words[label] += word_bytes(text)
-            for c in (0, 1):
-                if words[c]:
-                    held[c].append(np.unique(grams(words[c])[0], return_counts=True))
-            if sum(len(x[0]) for parts in held for x in parts) > HELD_GRAMS:
-                yield from full()
+            for c, words in worded(batch):
+                held[c].append(np.unique(grams(words)[0], return_counts=True))
+                if sum(len(x[0]) for parts in held for x in parts) > 2 * HELD_GRAMS and merge() > HELD_GRAMS:
+                    yield from full()
+        merge()
         yield from full()
 
     return taught.mapInArrow(count, "gram long, ordinary long, toxic long").groupBy("gram").agg(F.sum("ordinary").alias("ordinary"), F.sum("toxic").alias("toxic"))
@@ -280,6 +312,7 @@ def fit(docs: DataFrame, labels: DataFrame, unseen: Column) -> tuple:
         shipped = Shipped(spark, model)
 
         def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            release()
             scorer = Scorer(shipped())
             for batch in batches:
                 if batch.num_rows:

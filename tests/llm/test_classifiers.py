@@ -1,10 +1,12 @@
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -324,3 +326,46 @@ def test_the_sample_is_drawn_from_documents_that_are_there(spark, prose):
     labels = [(i, 1, i % 2, "", 0.0) for i in range(6000)] + [(10**6 + i, 1, i % 2, "", 0.0) for i in range(40)]
     model, curve, _ = toxicity.fit(frame(spark, texts), spark.createDataFrame(labels, LABELS), F.lit(False))
     assert curve is not None and model.differences([b"fropwits"])[0] > 1
+
+
+class _Taken:
+    """Stands for a DataFrame: keeps the function that workers would run."""
+
+    def mapInArrow(self, work, schema):
+        self.work = work
+        return self
+
+    def groupBy(self, *_):
+        return self
+
+    def agg(self, *_):
+        return self
+
+
+def test_a_worker_counts_and_scores_a_large_batch_in_little_memory(spark, prose):
+    """Numbers for each byte of a batch of 4 MB took some 350 MB a worker."""
+
+    texts = [" ".join([prose(400)] * 40 + [f"w{i}"]) for i in range(60)] + [None, "", " ".join([prose(400)] * 400)]
+    labels = [i % 2 for i in range(len(texts))]
+    taken = toxicity.count_grams(_Taken())
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(labels)], ["text", "label"])
+    assert sum(len(x or "") for x in texts) > 4 << 20
+    tracemalloc.start()
+    counted = [Counter(), Counter()]
+    for part in taken.work(iter([batch])):
+        for c, name in enumerate(("ordinary", "toxic")):
+            counted[c].update(dict(zip(part["gram"].to_pylist(), part[name].to_pylist(), strict=True)))
+    _, counting = tracemalloc.get_traced_memory()
+    assert counting < 100 << 20
+    tops = [np.unique(toxicity.grams([w for x, y in zip(texts, labels, strict=True) if y == c for w in word_bytes(x)])[0], return_counts=True) for c in (0, 1)]
+    for c, (codes, counts) in enumerate(tops):
+        assert +counted[c] == dict(zip(codes.astype(np.int64).tolist(), counts.tolist(), strict=True))
+    scorer = toxicity.Scorer(toxicity.KneserNey(tuple((codes, counts.astype(float)) for codes, counts in tops)))
+    one_by_one = np.concatenate([toxicity.Scorer(scorer.model).features([x]) for x in texts[-4:]])
+    scorer.features(texts[:1])
+    tracemalloc.reset_peak()
+    before = tracemalloc.get_traced_memory()[0]
+    every = scorer.features(texts)
+    assert tracemalloc.get_traced_memory()[1] - before < 160 << 20
+    tracemalloc.stop()
+    assert np.allclose(every[-4:], one_by_one, rtol=0, atol=1e-12) and every.shape == (len(texts), 15)
