@@ -1,7 +1,8 @@
 """Spark data sources for binary logs (``wal``) and sorted tables (``sst``).
 
-``spark.read.format("wal").load(paths or globs, separated by commas)``. One file is one partition; its
-epoch is the number in its name, else its place in the sorted list. Options ``start`` and ``end`` give
+``spark.read.format("wal").load(paths or globs, separated by commas)``. A partition has files
+that follow each other, up to ``PARTITION`` bytes or one longer file; a file's epoch is the number in its
+name, else its place in the sorted list. Options ``start`` and ``end`` give
 start <= key < end alone, in any session; ``load`` sets them. With the option ``pushdown`` "true",
 comparisons of ``key`` with constants are also used to skip entries and are handed back to Spark, which checks
 them again: for sessions with ``spark.sql.python.filterPushdown.enabled``, since Spark refuses a reader that
@@ -23,6 +24,12 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Greate
 from keystrata.schema import LOG
 from keystrata.sources.codec import TableFile, Version, read_wal, write_table, write_wal
 
+#: Bytes of a partition's files at most, and so few that there are some ``PARTITIONS``, but ``LEAST`` at least; what opening a file counts as.
+PARTITION, PARTITIONS, LEAST, OPENED = 16 << 20, 64, 1 << 20, 1 << 16
+BATCH_ROWS, BATCH_BYTES, BUFFER = 10_000, 4 << 20, 1 << 18
+#: ``LOG`` as Arrow has it.
+ARROW = pa.schema([("key", pa.string()), ("epoch", pa.int64()), ("seq", pa.int64()), ("vtype", pa.int8()), ("data", pa.string()), ("ts", pa.timestamp("us"))])
+
 
 def _store(path: str):
     from pyarrow import fs
@@ -30,27 +37,39 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def discover(paths: str, suffix: str) -> list[tuple[int, str]]:
-    """(epoch, path) of the files with ``suffix`` in the named folders, or of the named files, in numeric order."""
+def _found(paths: str, suffix: str) -> list[tuple[int, str, int]]:
+    """(epoch, path, bytes) of ``discover``'s files."""
     from pyarrow import fs
 
     found = []
     for path in paths.split(","):
         store, name = _store(path.strip())
-        if store.get_file_info(name).type == fs.FileType.Directory:
+        info = store.get_file_info(name)
+        if info.type == fs.FileType.Directory:
             inside = store.get_file_info(fs.FileSelector(name))
             scheme = path[: path.index("://") + 3] if "://" in path else ""
-            found += [scheme + x.path for x in inside if x.path.endswith(suffix)]
+            found += [(scheme + x.path, x.size or 0) for x in inside if x.path.endswith(suffix)]
         else:
-            found.append(path.strip())
+            found.append((path.strip(), info.size or 0))
     number = lambda p: [int(x) for x in re.findall(r"\d+", p.rsplit("/", 1)[-1])]
-    found.sort(key=lambda p: (number(p), p))
-    return [((number(p) or [i])[0], p) for i, p in enumerate(found)]
+    found.sort(key=lambda x: (number(x[0]), x[0]))
+    return [((number(p) or [i])[0], p, size) for i, (p, size) in enumerate(found)]
+
+
+def discover(paths: str, suffix: str) -> list[tuple[int, str]]:
+    """(epoch, path) of the files with ``suffix`` in the named folders, or of the named files, in numeric order."""
+    return [(epoch, path) for epoch, path, _ in _found(paths, suffix)]
+
+
+class FilesPartition(InputPartition):
+    """(epoch, path) of files that one task reads."""
+
+    def __init__(self, files: list[tuple[int, str]]):
+        super().__init__(tuple(files))
 
 
-class FilePartition(InputPartition):
-    def __init__(self, epoch: int, path: str):
-        super().__init__((epoch, path))
+def _columns(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), ARROW, strict=True)], schema=ARROW)
 
 
 class _Reader(DataSourceReader):
@@ -60,7 +79,28 @@ class _Reader(DataSourceReader):
         self.paths, self.start, self.end = options["path"], options.get("start"), options.get("end")
 
     def partitions(self) -> list[InputPartition]:
-        return [FilePartition(*x) for x in discover(self.paths, self.suffix)]
+        files = [(epoch, path, size + OPENED) for epoch, path, size in _found(self.paths, self.suffix)]
+        most = min(PARTITION, max(LEAST, sum(size for *_, size in files) // PARTITIONS))
+        dealt, held = [], 0
+        for epoch, path, size in files:
+            if not dealt or held + size > most:
+                dealt.append([])
+                held = 0
+            dealt[-1].append((epoch, path))
+            held += size
+        return [FilesPartition(x) for x in dealt]
+
+    def read(self, partition: FilesPartition) -> Iterator[pa.RecordBatch]:
+        rows, held = [], 0
+        for epoch, path in partition.value:
+            for v in self.versions(*_store(path)):
+                rows.append((v.key, epoch, v.seq, v.vtype, v.data, v.ts))
+                held += len(v.key) + len(v.data or "")
+                if len(rows) == BATCH_ROWS or held >= BATCH_BYTES:
+                    yield _columns(rows)
+                    rows, held = [], 0
+        if rows:
+            yield _columns(rows)
 
     def _wanted(self, key: str) -> bool:
         return (self.start is None or key >= self.start) and (self.end is None or key < self.end)
@@ -69,24 +109,17 @@ class _Reader(DataSourceReader):
 class WalReader(_Reader):
     suffix = ".wal"
 
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        epoch, path = partition.value
-        store, name = _store(path)
-        with store.open_input_stream(name) as stream:
-            for v in read_wal(stream):
-                if self._wanted(v.key):
-                    yield v.key, epoch, v.seq, v.vtype, v.data, v.ts
+    def versions(self, store, name: str) -> Iterator[Version]:
+        with store.open_input_stream(name) as stream, io.BufferedReader(stream, BUFFER) as buffered:
+            yield from read_wal(buffered, self._wanted)
 
 
 class TableReader(_Reader):
     suffix = ".sst"
 
-    def read(self, partition: FilePartition) -> Iterator[tuple]:
-        epoch, path = partition.value
-        store, name = _store(path)
+    def versions(self, store, name: str) -> Iterator[Version]:
         with store.open_input_file(name) as stream:
-            for v in TableFile(stream, stream.size()).scan(self.start, self.end):
-                yield v.key, epoch, 0, v.vtype, v.data, v.ts
+            yield from TableFile(stream, stream.size()).scan(self.start, self.end)
 
 
 class _Pushed(_Reader):
@@ -161,13 +194,15 @@ def save_files(log: DataFrame, folder: str, kind: str) -> list[str]:
 
     def save(key: tuple, rows: pa.Table) -> pa.Table:
         epoch = key[0].as_py()
-        versions = [Version(r["key"], r["data"], r["vtype"], r["ts"] or datetime(1970, 1, 1), r["seq"]) for r in rows.sort_by("seq").to_pylist()]
+        rows = rows.sort_by("seq")
+        keys, data, vtypes, seqs = (rows[c].to_pylist() for c in ("key", "data", "vtype", "seq"))
+        versions = [Version(k, d, v, t or datetime(1970, 1, 1), s) for k, d, v, t, s in zip(keys, data, vtypes, rows["ts"].to_numpy().astype("datetime64[us]").tolist(), seqs, strict=True)]
         if kind == "sst":
             versions = [v for _, v in sorted({v.key: v for v in versions}.items())]
         store, name = _store(f"{folder}/{epoch:06d}.{kind}")
         store.create_dir(name.rpartition("/")[0])
         unfinished = f"{name}.{uuid.uuid4().hex}.unfinished"
-        with store.open_output_stream(unfinished) as out:
+        with store.open_output_stream(unfinished, buffer_size=BUFFER) as out:
             (write_wal if kind == "wal" else write_table)(out, versions)
         store.move(unfinished, name)
         return pa.table({"path": [f"{folder}/{epoch:06d}.{kind}"]})

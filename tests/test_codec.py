@@ -162,3 +162,52 @@ def test_a_folder_of_files_is_adopted(spark, tmp_path, store):
     store.append_log(read_folder(spark, str(tmp_path)))
     assert store.get_range("", "z") == [("a", "newer"), ("b", None), ("c", "3")]
     assert read_folder(spark, str(tmp_path / "nothing")).count() == 0
+
+
+class _Counted(io.BytesIO):
+    reads = 0
+
+    def read(self, *size):
+        self.reads += 1
+        return super().read(*size)
+
+
+def test_a_scan_of_a_table_reads_blocks():
+    """Four reads for each entry make many small tables slow."""
+    stream = _Counted()
+    write_table(stream, [Version(f"key{i:05d}", None if i % 7 == 0 else "x" * (i % 50), int(i % 7 == 0), TS) for i in range(10_000)])
+    t = TableFile(stream, stream.tell())
+    before = stream.reads
+    assert [(v.key, v.data) for v in t.scan()] == [(f"key{i:05d}", None if i % 7 == 0 else "x" * (i % 50)) for i in range(10_000)]
+    assert stream.reads - before < 20
+
+
+def test_records_that_cross_blocks_and_records_longer_than_one(monkeypatch):
+    monkeypatch.setattr(TableFile, "BLOCK", 64)
+    versions = [Version(f"k{i:03d}", "é" * (i * 37 % 200), 0, TS) for i in range(100)]
+    t = table(versions)
+    assert list(t.scan()) == versions
+    assert [t.get(v.key) for v in reversed(versions)] == versions[::-1]
+
+
+def test_small_files_share_partitions(spark, tmp_path):
+    """A partition for each file costs a task each; rows keep the epoch of their own file."""
+    for i in range(300):
+        for kind, made in (("wal", binary.wal_bytes), ("sst", binary.table_bytes)):
+            (tmp_path / f"{i}.{kind}").write_bytes(made([Version("a", str(i), 0, TS), Version(f"k{i:03d}", None, 1, TS)] if i else []))
+    for kind, reader in (("wal", binary.WalReader), ("sst", binary.TableReader)):
+        dealt = [p.value for p in reader({"path": str(tmp_path)}).partitions()]
+        assert len(dealt) < 25 and [e for files in dealt for e, _ in files] == list(range(300))
+        log = binary.load(spark, kind, str(tmp_path))
+        assert sorted((r.key, r.epoch, r.data) for r in log.collect()) == sorted(x for i in range(1, 300) for x in [("a", i, str(i)), (f"k{i:03d}", i, None)])
+        assert rows(V.get(log, "a")) == [("a", "299")]
+
+
+def test_large_files_have_partitions_of_their_own(tmp_path, monkeypatch):
+    for name, value in (("LEAST", 100), ("PARTITION", 100), ("OPENED", 0)):
+        monkeypatch.setattr(binary, name, value)
+    for i, size in enumerate((250, 60, 40, 1, 120, 30)):
+        (tmp_path / f"{i}.sst").write_bytes(b"x" * size)
+    named = ",".join(str(tmp_path / f"{i}.sst") for i in (5, 3, 4, 0, 1, 2))
+    for paths in (str(tmp_path), named, f"file://{tmp_path}"):
+        assert [[e for e, _ in p.value] for p in binary.TableReader({"path": paths}).partitions()] == [[0], [1, 2], [3], [4], [5]]
