@@ -14,8 +14,11 @@ def as_log(table: DataFrame, key: Column, epoch: Column, seq: Column, data: Colu
 
 
 def padded(prefix: str, number: str) -> Column:
-    """A key such as user_0000000042, whose order is the number's."""
-    return F.concat(F.lit(prefix), F.lpad(F.col(number).cast("string"), 10, "0"))
+    """A key such as user_0000000042, whose order is the number's from 0 to ten digits; others as printf's %010d has them."""
+    text = F.col(number).cast("string")
+    digits = F.ltrim(text, F.lit("-"))
+    fill = lambda width: F.lpad(digits, F.greatest(F.length(digits), F.lit(width)), F.lit("0"))
+    return F.when(text.startswith("-"), F.concat(F.lit(f"{prefix}-"), fill(9))).otherwise(F.concat(F.lit(prefix), fill(10)))
 
 
 def events_log(events: DataFrame) -> DataFrame:

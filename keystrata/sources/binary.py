@@ -2,7 +2,7 @@
 
 ``spark.read.format("wal").load(paths or globs, separated by commas)``. A partition has files
 that follow each other, up to ``PARTITION`` bytes or one longer file; a file's epoch is the number in its
-name, else its place in the sorted list. Options ``start`` and ``end`` give
+name (below zero where the name begins with a minus), null for the name ``none``, else its place in the sorted list. Options ``start`` and ``end`` give
 start <= key < end alone, in any session; ``load`` sets them. With the option ``pushdown`` "true",
 comparisons of ``key`` with constants are also used to skip entries and are handed back to Spark, which checks
 them again: for sessions with ``spark.sql.python.filterPushdown.enabled``, since Spark refuses a reader that
@@ -18,7 +18,9 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 from keystrata.schema import LOG
@@ -27,7 +29,10 @@ from keystrata.sources.codec import TableFile, Version, read_wal, write_table, w
 #: Bytes of a partition's files at most, and so few that there are some ``PARTITIONS``, but ``LEAST`` at least; what opening a file counts as.
 PARTITION, PARTITIONS, LEAST, OPENED = 16 << 20, 64, 1 << 20, 1 << 16
 BATCH_ROWS, BATCH_BYTES, BUFFER = 10_000, 4 << 20, 1 << 18
-#: ``LOG`` as Arrow has it.
+#: The name of the file that holds the rows without an epoch.
+UNNUMBERED = "none"
+#: ``LOG`` with columns that may be null, as tables make it whose rows lack a key or a number; and as Arrow has it.
+ROWS = T.StructType([T.StructField(f.name, f.dataType) for f in LOG])
 ARROW = pa.schema([("key", pa.string()), ("epoch", pa.int64()), ("seq", pa.int64()), ("vtype", pa.int8()), ("data", pa.string()), ("ts", pa.timestamp("us"))])
 
 
@@ -37,7 +42,7 @@ def _store(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path else (fs.LocalFileSystem(), path)
 
 
-def _found(paths: str, suffix: str) -> list[tuple[int, str, int]]:
+def _found(paths: str, suffix: str) -> list[tuple[int | None, str, int]]:
     """(epoch, path, bytes) of ``discover``'s files."""
     from pyarrow import fs
 
@@ -51,20 +56,22 @@ def _found(paths: str, suffix: str) -> list[tuple[int, str, int]]:
             found += [(scheme + x.path, x.size or 0) for x in inside if x.path.endswith(suffix)]
         else:
             found.append((path.strip(), info.size or 0))
-    number = lambda p: [int(x) for x in re.findall(r"\d+", p.rsplit("/", 1)[-1])]
-    found.sort(key=lambda x: (number(x[0]), x[0]))
-    return [((number(p) or [i])[0], p, size) for i, (p, size) in enumerate(found)]
+    unnumbered = f"{UNNUMBERED}{suffix}"
+    name = lambda p: p.rsplit("/", 1)[-1]
+    number = lambda p: [int(x) for x in re.findall(r"^-?\d+|\d+", name(p))]
+    found.sort(key=lambda x: (name(x[0]) != unnumbered, number(x[0]), x[0]))
+    return [(None if name(p) == unnumbered else (number(p) or [i])[0], p, size) for i, (p, size) in enumerate(found)]
 
 
-def discover(paths: str, suffix: str) -> list[tuple[int, str]]:
-    """(epoch, path) of the files with ``suffix`` in the named folders, or of the named files, in numeric order."""
+def discover(paths: str, suffix: str) -> list[tuple[int | None, str]]:
+    """(epoch, path) of the files with ``suffix`` in the named folders, or of the named files, in numeric order; what has no epoch first."""
     return [(epoch, path) for epoch, path, _ in _found(paths, suffix)]
 
 
 class FilesPartition(InputPartition):
     """(epoch, path) of files that one task reads."""
 
-    def __init__(self, files: list[tuple[int, str]]):
+    def __init__(self, files: list[tuple[int | None, str]]):
         super().__init__(tuple(files))
 
 
@@ -88,21 +95,23 @@ class _Reader(DataSourceReader):
                 held = 0
             dealt[-1].append((epoch, path))
             held += size
-        return [FilesPartition(x) for x in dealt]
+        return [FilesPartition(x) for x in dealt or [[]]]
 
     def read(self, partition: FilesPartition) -> Iterator[pa.RecordBatch]:
         rows, held = [], 0
         for epoch, path in partition.value:
             for v in self.versions(*_store(path)):
                 rows.append((v.key, epoch, v.seq, v.vtype, v.data, v.ts))
-                held += len(v.key) + len(v.data or "")
+                held += len(v.key or "") + len(v.data or "")
                 if len(rows) == BATCH_ROWS or held >= BATCH_BYTES:
                     yield _columns(rows)
                     rows, held = [], 0
         if rows:
             yield _columns(rows)
 
-    def _wanted(self, key: str) -> bool:
+    def _wanted(self, key: str | None) -> bool:
+        if key is None:
+            return self.start is None and self.end is None
         return (self.start is None or key >= self.start) and (self.end is None or key < self.end)
 
 
@@ -155,7 +164,7 @@ class WalSource(DataSource):
         return "wal"
 
     def schema(self):
-        return LOG
+        return ROWS
 
     def reader(self, schema) -> WalReader:
         return (PushedWalReader if _pushed(self.options) else WalReader)(self.options)
@@ -167,7 +176,7 @@ class TableSource(DataSource):
         return "sst"
 
     def schema(self):
-        return LOG
+        return ROWS
 
     def reader(self, schema) -> TableReader:
         return (PushedTableReader if _pushed(self.options) else TableReader)(self.options)
@@ -189,25 +198,29 @@ def save_files(log: DataFrame, folder: str, kind: str) -> list[str]:
     """Writes ``log`` to ``folder``, a file for each epoch: ``wal``, rows in order, or ``sst``, newest versions by key.
 
     Files are written where the rows are, an epoch in one task, which is what one file holds. Each has its
-    name only once it is whole, so a task that is run again does no harm. Returns the paths.
+    name only once it is whole, so a task that is run again does no harm. Returns the paths by epoch, null first;
+    the folder is there even if there are none.
     """
+    store, name = _store(folder)
+    store.create_dir(name)
 
     def save(key: tuple, rows: pa.Table) -> pa.Table:
         epoch = key[0].as_py()
-        rows = rows.sort_by("seq")
+        rows = rows.take(pc.sort_indices(rows, sort_keys=[("seq", "ascending")], null_placement="at_start"))
         keys, data, vtypes, seqs = (rows[c].to_pylist() for c in ("key", "data", "vtype", "seq"))
         versions = [Version(k, d, v, t or datetime(1970, 1, 1), s) for k, d, v, t, s in zip(keys, data, vtypes, rows["ts"].to_numpy().astype("datetime64[us]").tolist(), seqs, strict=True)]
         if kind == "sst":
-            versions = [v for _, v in sorted({v.key: v for v in versions}.items())]
-        store, name = _store(f"{folder}/{epoch:06d}.{kind}")
-        store.create_dir(name.rpartition("/")[0])
+            versions = sorted({v.key: v for v in versions}.values(), key=lambda v: (v.key is not None, v.key or ""))
+        path = f"{folder}/{UNNUMBERED if epoch is None else f'{epoch:06d}'}.{kind}"
+        store, name = _store(path)
         unfinished = f"{name}.{uuid.uuid4().hex}.unfinished"
         with store.open_output_stream(unfinished, buffer_size=BUFFER) as out:
             (write_wal if kind == "wal" else write_table)(out, versions)
         store.move(unfinished, name)
-        return pa.table({"path": [f"{folder}/{epoch:06d}.{kind}"]})
+        return pa.table({"epoch": pa.array([epoch], pa.int64()), "path": [path]})
 
-    return sorted(r.path for r in log.groupBy("epoch").applyInArrow(save, "path string").collect())
+    saved = log.groupBy("epoch").applyInArrow(save, "epoch long, path string").collect()
+    return [r.path for r in sorted(saved, key=lambda r: (r.epoch is not None, r.epoch or 0))]
 
 
 def wal_bytes(versions) -> bytes:

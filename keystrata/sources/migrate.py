@@ -12,7 +12,7 @@ from keystrata.sources.binary import discover, load
 def read_folder(spark: SparkSession, folder: str) -> DataFrame:
     """Tables count by their number, logs after all tables by theirs; unfinished files are not read."""
     tables, logs = (_files(f"{folder.rstrip('/')}/{sub}", suffix) for sub, suffix in (("sstables", ".sst"), ("wal", ".wal")))
-    after = max((number for number, _ in tables), default=-1) + 1
+    after = max((number for number, _ in tables if number is not None), default=-1) + 1
     found = spark.createDataFrame([], LOG)
     if tables:
         found = found.unionByName(load(spark, "sst", ",".join(path for _, path in tables)))

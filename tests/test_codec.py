@@ -211,3 +211,28 @@ def test_large_files_have_partitions_of_their_own(tmp_path, monkeypatch):
     named = ",".join(str(tmp_path / f"{i}.sst") for i in (5, 3, 4, 0, 1, 2))
     for paths in (str(tmp_path), named, f"file://{tmp_path}"):
         assert [[e for e, _ in p.value] for p in binary.TableReader({"path": paths}).partitions()] == [[0], [1, 2], [3], [4], [5]]
+
+
+def test_null_is_not_the_empty_string(spark, tmp_path):
+    versions = [Version(None, "no key", 0, TS), Version("", "", 0, TS), Version("a", None, 0, TS), Version("b", None, 1, TS)]
+    t = table(versions)
+    assert list(t.scan()) == versions and t.keys == ["", "a", "b"]
+    assert [v.key for v in t.scan("")] == ["", "a", "b"] and [v.key for v in t.scan(None, "b")] == ["", "a"]
+    with pytest.raises(ValueError, match="ascend"):
+        write_table(io.BytesIO(), [Version("a", "", 0, TS), Version(None, "", 0, TS)])
+    (tmp_path / "1.sst").write_bytes(binary.table_bytes(versions))
+    (tmp_path / "2.wal").write_bytes(binary.wal_bytes(versions))
+    for kind in ("sst", "wal"):
+        assert [(r.key, r.data) for r in binary.load(spark, kind, str(tmp_path)).collect()] == [(None, "no key"), ("", ""), ("a", None), ("b", None)]
+        assert [r.key for r in binary.load(spark, kind, str(tmp_path), "").collect()] == ["", "a", "b"]
+
+
+def test_epochs_below_zero_and_no_epoch(tmp_path):
+    for name in ("none", "-00002", "-00001", "000000", "1000000", "999999", "wal-3"):
+        (tmp_path / f"{name}.sst").write_bytes(b"")
+    assert [epoch for epoch, _ in binary.discover(str(tmp_path), ".sst")] == [None, -2, -1, 0, 3, 999_999, 1_000_000]
+
+
+def test_a_folder_without_files_is_an_empty_log(spark, tmp_path):
+    for kind in ("sst", "wal"):
+        assert binary.load(spark, kind, str(tmp_path)).collect() == []

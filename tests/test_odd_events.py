@@ -1,0 +1,39 @@
+"""Queries through binary files on events whose fields are null, below zero or longer than a key's ten digits, and on none."""
+
+from datetime import datetime
+
+import duckdb
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
+
+from keystrata.plans import file_queries
+
+TS = datetime(2024, 1, 2, 3, 4, 5, 678)
+COLUMNS = pa.schema([("event_id", pa.int64()), ("ts", pa.timestamp("us")), ("user_id", pa.int64()), ("event_type", pa.string())])
+PLAIN = [(i, TS, i % 25, ("click", "error", "", "view")[i * 7 % 4]) for i in range(3000)]
+TABLES = {
+    "none": [],
+    "null event_type": [*PLAIN, (3000, TS, 3, None), (3001, TS, 8, None), (3002, TS, 99, None)],
+    "null user_id": [*PLAIN, (3000, TS, None, "error"), (3001, TS, None, "click"), (2, TS, None, None)],
+    "null event_id": [*PLAIN, (None, TS, 3, "click"), (None, TS, 8, "error"), (None, TS, 77, "view")],
+    "event_id below zero": [*PLAIN, (-1, TS, 500, "a"), (-1500, TS, 500, "b"), (-2500, TS, 8, "c"), (-2501, TS, 501, "error")],
+    "user_id below zero": [*PLAIN, (3000, TS, -3, "click"), (3001, TS, -(2**40), "error")],
+    "long user_id": [*PLAIN, (3000, TS, 12345678901, "click"), (3001, TS, 12345678902, "error"), (3002, TS, 2**62, None)],
+    "long event_id": [*PLAIN, (2**62, TS, 3, "click"), (10**9, TS, 8, "error"), (999_999_999, None, 9, "view")],
+}
+
+
+@pytest.fixture(params=sorted(TABLES))
+def odd(request, tmp_path):
+    rows = TABLES[request.param]
+    pq.write_table(pa.table([pa.array([r[i] for r in rows], f.type) for i, f in enumerate(COLUMNS)], schema=COLUMNS), tmp_path / "events.parquet")
+    return str(tmp_path)
+
+
+@pytest.mark.parametrize("name", ["sst_scan"])
+def test_query_equals_sql_on_odd_events(spark, odd, name):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{odd}/events.parquet'")
+    wanted = sorted(map(repr, con.sql(file_queries.oracle_sql()[name]).fetchall()))
+    assert sorted(repr(tuple(r)) for r in file_queries.queries()[name](spark, odd).collect()) == wanted
