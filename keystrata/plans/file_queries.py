@@ -64,11 +64,12 @@ def wal_range(spark, d):
 def wal_recovery(spark, d):
     """What a crash has torn at the end of the last log is not read; all before it is."""
     folder, paths = _saved(spark, d, "wal")
-    store, name = _opened(paths[-1])
-    with store.open_input_file(name) as file:
-        whole = file.read()
-    with store.open_output_stream(name) as out:
-        out.write(whole + whole[:17])
+    for path in paths[-1:]:
+        store, name = _opened(path)
+        with store.open_input_file(name) as file:
+            whole = file.read()
+        with store.open_output_stream(name) as out:
+            out.write(whole + whole[:17])
     return V.scan(load(spark, "wal", folder))
 
 
@@ -125,9 +126,10 @@ def sst_index(spark, d):
 
 @query(f"WITH {_SQL['log']} SELECT epoch, row_number() OVER (ORDER BY epoch) AS place FROM (SELECT DISTINCT epoch FROM log)")
 def run_discovery(spark, d):
-    """Files of a folder by the numbers in their names."""
+    """Files of a folder by the numbers in their names; what has none comes last."""
     folder, _ = _saved(spark, d, "sst")
-    return spark.createDataFrame([(epoch, n) for n, (epoch, _) in enumerate(discover(folder, ".sst"), 1)], "epoch long, place long")
+    found = sorted((epoch for epoch, _ in discover(folder, ".sst")), key=lambda epoch: (epoch is None, epoch or 0))
+    return spark.createDataFrame([(epoch, n) for n, epoch in enumerate(found, 1)], "epoch long, place long")
 
 
 @query(f"""WITH {_SQL['log']}, {_SQL['latest']} SELECT key, data AS value FROM latest""")
@@ -135,7 +137,7 @@ def folder_adopted(spark, d):
     """Older epochs as tables and newer ones as logs, adopted by a store."""
     folder, log = _uri(_folder(spark, "adopted")), events_log(spark.read.parquet(f"{d}/events.parquet"))
     middle = (log.agg(F.max("epoch")).first()[0] or 0) // 2
-    save_files(log.where(F.col("epoch") <= middle), f"{folder}/sstables", "sst")
+    save_files(log.where(F.coalesce(F.col("epoch") <= middle, F.lit(True))), f"{folder}/sstables", "sst")
     save_files(log.where(F.col("epoch") > middle), f"{folder}/wal", "wal")
     store = Store.open(spark, _folder(spark, "adopting"))
     store.append_log(read_folder(spark, folder))

@@ -236,3 +236,11 @@ def test_epochs_below_zero_and_no_epoch(tmp_path):
 def test_a_folder_without_files_is_an_empty_log(spark, tmp_path):
     for kind in ("sst", "wal"):
         assert binary.load(spark, kind, str(tmp_path)).collect() == []
+
+
+def test_logs_hold_numbers_below_zero_and_rows_without_one():
+    versions = [Version("a", "1", 0, TS, -(2**63)), Version("b", None, 1, TS, None), Version(None, None, 0, TS, None), Version("c", "", 0, TS, -1)]
+    data = binary.wal_bytes(versions)
+    assert list(read_wal(io.BytesIO(data))) == versions
+    assert list(read_wal(io.BytesIO(data[:-1]))) == versions[:-1]
+    assert next_seq(io.BytesIO(data)) == 0 and next_seq(io.BytesIO(binary.wal_bytes([*versions, Version("d", "", 0, TS, 4)]))) == 5
