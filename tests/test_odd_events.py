@@ -31,7 +31,7 @@ def odd(request, tmp_path):
     return str(tmp_path)
 
 
-@pytest.mark.parametrize("name", ["sst_scan", "sst_point_get", "wal_recovery", "run_discovery", "folder_adopted"])
+@pytest.mark.parametrize("name", ["sst_scan", "sst_point_get", "sst_range", "wal_recovery", "run_discovery", "folder_adopted"])
 def test_query_equals_sql_on_odd_events(spark, odd, name):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW events AS SELECT * FROM '{odd}/events.parquet'")
